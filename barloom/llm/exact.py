@@ -41,7 +41,9 @@ def _named_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int,
     )
     # equal blocks of a salt lie together after the sort; the run is named by its smallest slot
     salted = blocks.withColumn("run", F.min("slot").over(Window.partitionBy("block", "salt")))
-    runs = salted.where("run = slot").select("block", "run").withColumn("name", F.min("run").over(Window.partitionBy("block"))).select("run", "name")
+    # the hash is always at least this; it names every column, so that both uses of the shuffle read the same columns and share it
+    whole = F.xxhash64(*[c for c in salted.columns if c != "block"]) >= F.lit(-(2**63))
+    runs = salted.where((F.col("run") == F.col("slot")) & whole).select("block", "run").withColumn("name", F.min("run").over(Window.partitionBy("block"))).select("run", "name")
     return salted.drop("block", "salt").join(runs, "run").drop("run")
 
 

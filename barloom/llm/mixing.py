@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import text_of, words_of
+from barloom.llm.common import cut, text_of, words_of
 
 BLOCK_DOCS = 4096
 SHARDS = 16
@@ -75,7 +75,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     row by row; equal rows lie in one block and may be taken differently only by
     their order there. No rows in, no rows out. The same rows and seed give the same mix.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), _source_key(source_col).alias("src"), F.size(words_of(text_of(text_col))).cast("long").alias("size"), F.xxhash64(id_col, text_col).alias("body"))
+    # texts are read once: the narrow rows are used several times below
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), _source_key(source_col).alias("src"), F.size(words_of(text_of(text_col))).cast("long").alias("size"), F.xxhash64(id_col, text_col).alias("body")))
     sources = targets(rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).select("src", "source_size"), most)
     counted = rows.groupBy("src").agg(F.count("*").alias("n_docs"))
     plan = (

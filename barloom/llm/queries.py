@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import exact, mixing, pieces, rules, token_counts
+from barloom.llm import exact, licences, mixing, pieces, private, rules, token_counts
 from barloom.llm.common import documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -33,7 +34,16 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return rules.quality(documents(spark, sf_dir), rules.trusted(labels)).drop("score")
+    return rules.quality(documents(spark, sf_dir), rules.trusted(labels))
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.sanitise(documents(spark, sf_dir))
+
+
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: source and language stand for the directories."""
+    return licences.scan(documents(spark, sf_dir), path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
 
 
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup,
         "op4_token_counts": tokens,
         "op5_quality_rules": quality_rules,
+        "op7_personal_data": personal_data,
+        "op8_licence_scan": licence_scan,
         "op10_mix_sources": mix_sources,
     }
 
