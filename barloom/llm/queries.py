@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact, licences, mixing, pieces, private, rules, token_counts
+from barloom.llm import exact, jaccard, licences, mixing, pieces, private, rules, token_counts
 from barloom.llm.common import documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), vocabulary(PIECE_MODEL))
 
 
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(documents(spark, sf_dir))
+
+
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece,
+        "op2_jaccard_join": jaccard_pairs,
         "op3_exact_dedup": exact_dedup,
         "op4_token_counts": tokens,
         "op5_quality_rules": quality_rules,
