@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,24 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barloom-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows up to which a counted table of keys may be broadcast.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """The rows of docs that match no row of gone; gone is broadcast only if counted to be small."""
+    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(gone) if few else gone, on, "left_anti")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the one in spark.checkpoint.dir, which driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="barloom-")
+    return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

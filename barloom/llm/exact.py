@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, text_of, without_white
+from barloom.llm.common import cut, text_of, without, without_white
 
 BLOCK_BYTES = 4096
 SALTS = 16
@@ -81,9 +81,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stay = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_sha")).distinct()
-    on = docs[id_col].eqNullSafe(F.col("_stay")) & (F.sha2(F.encode(without_white(text_of(text_col)), "utf-8"), 256) == F.col("_sha"))
-    return docs.join(stay, on, "left_semi")
+    gone = cut(exact_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_n")))
+    text = text_of(text_col)
+    on = docs[id_col].eqNullSafe(F.col("_gone")) & (F.sha2(F.encode(without_white(text), "utf-8"), 256) == F.col("_sha")) & (F.char_length(text) == F.col("_n"))
+    return without(docs, gone, on)
 
 
 SQL = r"""

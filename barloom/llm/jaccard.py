@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, text_of
+from barloom.llm.common import cut, text_of, without
 from barloom.llm.graphs import components
 from barloom.llm.pieces import slices
 
@@ -218,5 +218,5 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that stay: of each group those with its smallest doc_id."""
-    stay = jaccard_join(docs, id_col, text_col, **how).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    gone = cut(jaccard_join(docs, id_col, text_col, **how).where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_gone")))
+    return without(docs, gone, docs[id_col].eqNullSafe(F.col("_gone")))

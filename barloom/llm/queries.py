@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact, jaccard, licences, mixing, pieces, private, rules, token_counts
+from barloom.llm import exact, jaccard, licences, mixing, perplexity, pieces, private, rules, suffixes, token_counts
 from barloom.llm.common import documents
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -41,6 +41,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(documents(spark, sf_dir), rules.trusted(labels))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return perplexity.classify(documents(spark, sf_dir), rules.trusted(labels))
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.sanitise(documents(spark, sf_dir))
 
@@ -50,6 +55,10 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir), path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
 
 
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("body")
 
@@ -61,8 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup,
         "op4_token_counts": tokens,
         "op5_quality_rules": quality_rules,
+        "op6_quality_classifier": quality_classifier,
         "op7_personal_data": personal_data,
         "op8_licence_scan": licence_scan,
+        "op9_suffix_dedup": repeated_strings,
         "op10_mix_sources": mix_sources,
     }
 

@@ -57,16 +57,16 @@ def model(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_, words and the base counts of every row."""
+    """doc_id, row_ (the whole row), text_, words and the base counts of every row."""
     text, words = text_of(text_col), F.col("words")
     plain = without_white(F.col("text_"))
     lines = F.filter(F.split("text_", "\n"), lambda x: F.length(without_white(x)) > 0)
-    start = docs.select(F.col(id_col).alias("doc_id"), text.alias("text_")).select(
-        "doc_id", "text_", words_of(F.col("text_")).alias("words"), F.length(plain).cast("long").alias("word_chars"),
+    start = docs.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row_"), text.alias("text_")).select(
+        "doc_id", "row_", "text_", words_of(F.col("text_")).alias("words"), F.length(plain).cast("long").alias("word_chars"),
         (F.length("text_") - F.length(F.translate("text_", SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("lines"),
     )
     windows = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    keyed = start.select("doc_id", "text_", "words", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("keys"))
+    keyed = start.select("doc_id", "row_", "text_", "words", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("keys"))
     # only texts with a repeated window are sorted; equal windows then lie side by side
     repeats = F.when(F.size(F.array_distinct("keys")) < F.size("keys"), F.sort_array(F.transform("keys", lambda k, i: F.struct(k.alias("k"), i.alias("i")))))
     ordered = keyed.withColumn("ordered", repeats).drop("keys")
@@ -77,20 +77,30 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return placed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("starts")
 
 
+def _judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text_col: str, buckets: int, threshold: float) -> DataFrame:
+    weights = model(docs, trusted_ids, id_col, text_col, buckets).scalar()
+    held = counts(docs, id_col, text_col).withColumn("lowered", _lowered(F.col("text_"))).withColumn("weights", weights)
+    hashed = held.withColumn("grams", _buckets("lowered", buckets)).drop("lowered", "text_", "words")
+    score = F.when(F.size("grams") > 0, F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get("weights", b)) / F.size("grams"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    told = hashed.select("row_", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), score.alias("score"))
+    return told.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+
+
 def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept: one row per input row.
 
     A null text has no words: every count is 0, base_failed is true, score is null
     and it is not kept. Repeated rows are judged alike. trusted_ids may be empty:
-    both multinomials are then nearly flat and scores stay finite. No rows in, no
-    rows out. Window keys are 64-bit hashes compared inside one text only.
+    the target is then the raw corpus and every score is 0. No rows in, no rows out.
+    Window keys are 64-bit hashes compared inside one text only.
     """
-    weights = model(docs, trusted_ids, id_col, text_col, buckets).scalar()
-    held = counts(docs, id_col, text_col).withColumn("lowered", _lowered(F.col("text_"))).withColumn("weights", weights)
-    hashed = held.withColumn("grams", _buckets("lowered", buckets)).drop("lowered", "text_", "words")
-    score = F.when(F.size("grams") > 0, F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get("weights", b)) / F.size("grams"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return hashed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), score.alias("score")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    return _judged(docs, trusted_ids, id_col, text_col, buckets, threshold).drop("row_")
+
+
+def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    return _judged(docs, trusted_ids, id_col, text_col, buckets, threshold).where("kept").select("row_.*")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
