@@ -100,7 +100,9 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", tex
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    return _judged(docs, trusted_ids, id_col, text_col, buckets, threshold).where("kept").select("row_.*")
+    # the row number keeps the filter above the projections, whose nested expressions it would repeat
+    judged = _judged(docs, trusted_ids, id_col, text_col, buckets, threshold).select("row_", "kept", F.monotonically_increasing_id().alias("number_"))
+    return judged.where("kept AND number_ >= 0").select("row_.*")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
