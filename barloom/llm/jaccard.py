@@ -36,7 +36,7 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 6
 TILE = 512
 BROADCAST_ROWS = 500_000
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 SEED = 7
 
 

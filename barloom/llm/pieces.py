@@ -34,9 +34,9 @@ from barloom.llm.common import text_of
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MOST_WORDS = 400_000
-SLICE_CHARS = 2_000_000
-MOST_CELLS = 300_000
+MOST_WORDS = 150_000
+SLICE_CHARS = 1_000_000
+MOST_CELLS = 150_000
 
 
 class Viterbi:
