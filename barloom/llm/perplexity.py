@@ -92,7 +92,7 @@ def _prob(seen: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFra
     Kneser-Ney for counts of 1, 2 and 3 or more.
     """
     tally = seen.agg(*[F.coalesce(F.sum((F.col("c") == k).cast("double")), F.lit(0.0)).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
     bound = lambda d, most: F.coalesce(F.greatest(F.lit(0.1), F.least(d, F.lit(most))), F.lit(most / 2))
     some = tally.select(F.array(bound(1 - 2 * y * F.col("n2") / F.nullif(F.col("n1"), F.lit(0.0)), 0.95), bound(2 - 3 * y * F.col("n3") / F.nullif(F.col("n2"), F.lit(0.0)), 1.95), bound(3 - 4 * y * F.col("n4") / F.nullif(F.col("n3"), F.lit(0.0)), 2.95)).alias("d")).first()
     d1, d2, d3 = some["d"] if some and some["d"] else (0.5, 1.0, 1.5)  # three numbers
@@ -201,4 +201,4 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     # a sketch of fixed size for each language
     limits = rows.groupBy("lang").agg(F.percentile_approx("log", [0.5, upper], 10_000).alias("q")).select(F.col("lang").alias("_lang"), (F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])).alias("limit"))
     judged = rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"]), "left")
-    return judged.select("doc_id", "lang", "n_chars", "perplexity", F.exp("limit").alias("limit"), F.coalesce(F.col("log") <= F.col("limit") + short / F.sqrt("n_chars"), F.lit(False)).alias("kept"))
+    return judged.select("doc_id", "lang", "n_chars", "perplexity", F.exp("limit").alias("limit"), F.coalesce(F.col("log") <= F.col("limit") + short / F.nullif(F.sqrt("n_chars"), F.lit(0.0)), F.lit(False)).alias("kept"))

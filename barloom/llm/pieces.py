@@ -14,7 +14,7 @@ library's. Whether a pair may stand together is asked of the library once for ea
 distinct pair and kept in a table. A model of another kind is refused.
 
 Scale. A map over the scan, without shuffle. Distinct words are encoded once a task
-and kept up to MOST_WORDS; texts are taken in slices of SLICE_CHARS, so memory is
+and kept up to MOST_WORDS in each of two tables; texts are taken in slices of SLICE_CHARS, so memory is
 bounded but for the longest single text. A lost task is simply run again.
 """
 
@@ -34,7 +34,7 @@ from barloom.llm.common import text_of
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MOST_WORDS = 150_000
+MOST_WORDS = 130_000
 SLICE_CHARS = 1_000_000
 MOST_CELLS = 150_000
 
@@ -69,6 +69,7 @@ class Viterbi:
         self.pairs: dict[int, bool] = {}
         self.pair_keys, self.pair_good = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
         self.words: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.runs: dict[int, tuple[int, ...]] = {}
 
     @staticmethod
@@ -183,9 +184,12 @@ class Viterbi:
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         distinct = set(chain.from_iterable(cut))
-        if len(self.words) + len(distinct) > MOST_WORDS:
-            self.words = {}
+        if len(self.words) + len(distinct) > MOST_WORDS:  # words in use move on to the new table, the others go with the old one
+            self.old, self.words = self.words, {}
         new = distinct.difference(self.words)
+        again = new.intersection(self.old)
+        self.words.update((w, self.old[w]) for w in again)
+        new -= again
         spaces = {w for w in new if not w.strip(SPACE)}
         self._learn(new - spaces)
         self.words.update((w, self._run(len(w))) for w in spaces)

@@ -80,11 +80,13 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text_col: str, buckets: int, threshold: float) -> DataFrame:
     weights = model(docs, trusted_ids, id_col, text_col, buckets).scalar()
     held = counts(docs, id_col, text_col).withColumn("lowered", _lowered(F.col("text_"))).withColumn("weights", weights)
-    hashed = held.withColumn("grams", _buckets("lowered", buckets)).drop("lowered", "text_", "words")
+    hashed = held.withColumn("grams", _buckets("lowered", buckets)).drop("lowered", "text_", "words").withColumn("number_", F.monotonically_increasing_id())
     score = F.when(F.size("grams") > 0, F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get("weights", b)) / F.size("grams"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    told = hashed.select("row_", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), score.alias("score"))
-    return told.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    kept = ~failed & F.coalesce(score >= threshold, F.lit(False))
+    told = F.struct("row_", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), score.alias("score"), kept.alias("kept"))
+    # every result hangs on the row number: no filter on one is pushed below the arrays, where it would build them anew for each element
+    return hashed.select(F.when(F.col("number_") >= 0, told).alias("told_")).select("told_.*")
 
 
 def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
@@ -100,9 +102,7 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", tex
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    # the row number keeps the filter above the projections, whose nested expressions it would repeat
-    judged = _judged(docs, trusted_ids, id_col, text_col, buckets, threshold).select("row_", "kept", F.monotonically_increasing_id().alias("number_"))
-    return judged.where("kept AND number_ >= 0").select("row_.*")
+    return _judged(docs, trusted_ids, id_col, text_col, buckets, threshold).where("kept").select("row_.*")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
