@@ -162,7 +162,9 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", suppor
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     # words at the edges of which punctuation stands are counted without it, as in the contexts
     each = docs.select(F.explode(F.array_distinct(F.transform(words_of(F.lower(text_of(text_col))), lambda w: F.btrim(w, F.lit(_EDGE))))).alias("term"))
-    corpus = each.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("df_t"))
+    # counted before the join, so that a common term is one row a task and not one a document
+    counted = each.groupBy("term").agg(F.count("*").alias("df_t"))
+    corpus = counted.join(F.broadcast(terms) if few else terms, "term")
     held = found.select("row_key", F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
     n = found.agg(F.count("*").cast("double").alias("n")).scalar()
     pmi = F.log(n * F.col("both") / (F.col("df_e") * F.greatest("df_t", "both")))
