@@ -28,7 +28,7 @@ def panel(rows=30, codes=6):
 @pytest.fixture(scope="module")
 def bars(spark):
     pdf = panel()
-    rows = [tuple(None if pd.isna(x) else x for x in r) for r in pdf.astype(object).itertuples(index=False)]
+    rows = [tuple(None if pd.isna(x) else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in r) for r in pdf.astype(object).itertuples(index=False)]
     return pdf, spark.createDataFrame(rows, "date timestamp, code long, open double, high double, low double, close double, volume double, amount double, vwap double, ret double, cap double, bm_close double, bm_open double, industry long")
 
 
