@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.algebra import parse, windows
-from barloom.plans import factors101, factors191
+from barloom.plans import factors101, factors191, panel, smoothed
 from barloom.plans.planner import KEYS, compute, duck_sql
 from barloom.sources.bars import DUCK_BARS, weekly_bars
 
@@ -51,7 +51,7 @@ def all_factors(formulas: dict[int, str]) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {"bars_weekly": weekly_bars} | {k: _factor(f) for k, f in FORMULAS.items()}
+    return {"bars_weekly": weekly_bars} | {k: _factor(f) for k, f in FORMULAS.items()} | panel.queries() | smoothed.queries()
 
 
 def recursive(formula: str) -> bool:
@@ -59,4 +59,4 @@ def recursive(formula: str) -> bool:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"bars_weekly": DUCK_BARS} | {k: duck_sql(DUCK_BARS, {"value": f}, DIGITS) for k, f in FORMULAS.items() if k not in NOISY and not recursive(f)}
+    return {"bars_weekly": DUCK_BARS} | {k: duck_sql(DUCK_BARS, {"value": f}, DIGITS) for k, f in FORMULAS.items() if k not in NOISY and not recursive(f)} | panel.oracle_sql()
