@@ -119,10 +119,10 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
         return kept[held.value]
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        block, pre = TaskContext.get().partitionId() << 32, shared()
         for batch in batches:
             for part, texts in slices(batch, "text", BLOCK_CHARS):
-                cut = [shared().cut(t) for t in texts]
+                cut = [pre.cut(t) for t in texts]
                 names: dict[str, int] = {}
                 sizes = [len(x) for x in cut]
                 words = np.fromiter((names.setdefault(w, len(names)) for w in chain.from_iterable(cut)), np.int64, sum(sizes))
@@ -150,6 +150,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
+        pre = shared()
         for batch in batches:
             blobs = []
             for blob in batch.column("payload").to_pylist():
@@ -161,7 +162,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
                 for w in str(words, "utf-8").split("\n"):
                     n = counts.get(w)
                     if n is None:
-                        n = counts[w] = shared().count(w)
+                        n = counts[w] = pre.count(w)
                     pieces.append(n)
                 doc, freq = np.frombuffer(doc, "<u4"), np.frombuffer(freq, "<u4")
                 total = np.bincount(doc, np.repeat(np.array(pieces, np.float64), np.frombuffer(per, "<u4")) * freq)
