@@ -71,13 +71,13 @@ _TEXTS: dict[str, tuple[str, dict[str, int]]] = {
     "ind_ad": (f"WITH a AS (SELECT date, code, coalesce((2 * close - high - low) / nullif(high - low, CAST(0 AS DOUBLE)), 0) * volume AS x FROM {{bars}}) SELECT date, code, sum(x) OVER {_SINCE} AS ad FROM a", {"ad": 4}),
     "ind_mfi": (f"WITH a AS (SELECT date, code, {_TP} AS tp, volume FROM {{bars}}), b AS (SELECT date, code, tp * volume AS flow, tp - lag(tp) OVER {_STEP} AS step FROM a), c AS (SELECT date, code, CASE WHEN step IS NOT NULL THEN CASE WHEN step > 0 THEN flow ELSE 0 END END AS up, CASE WHEN step IS NOT NULL THEN CASE WHEN step < 0 THEN flow ELSE 0 END END AS down FROM b) SELECT date, code, 100 * ({_sum('up', 14)}) / nullif(({_sum('up', 14)}) + ({_sum('down', 14)}), CAST(0 AS DOUBLE)) AS mfi FROM c", {"mfi": 6}),
     # cleaning and storage
-    "clean_fill_forward": (f"SELECT date, code, @known(close@ignoring) OVER {_SINCE} AS close, @known(volume@ignoring) OVER {_SINCE} AS volume FROM {{bars}}", {"close": 6, "volume": 2}),
+    "clean_fill_forward": (f"SELECT date, code, @known(close@ignoring) OVER {_SINCE} AS close, @known(volume@ignoring) OVER {_SINCE} AS volume FROM {{bars}}", {"close": 8, "volume": 2}),
     "clean_outliers": ("SELECT date, code, ret FROM {bars} WHERE abs(ret) > (SELECT CASE WHEN max(ret) > 1 THEN 11.0 ELSE 0.11 END FROM {bars})", {"ret": 6}),
-    "clean_remove_suspended": ("SELECT date, code, close, volume FROM {bars} WHERE volume > 0", {"close": 6, "volume": 2}),
-    "clean_drop_invalid": (f"WITH {_TRADED}, bad AS (SELECT DISTINCT code FROM traded WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR volume < 0 OR amount < 0) SELECT date, code, close FROM traded WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.code = traded.code)", {"close": 6}),
+    "clean_remove_suspended": ("SELECT date, code, close, volume FROM {bars} WHERE volume > 0", {"close": 8, "volume": 2}),
+    "clean_drop_invalid": (f"WITH {_TRADED}, bad AS (SELECT DISTINCT code FROM traded WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR volume < 0 OR amount < 0) SELECT date, code, close FROM traded WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.code = traded.code)", {"close": 8}),
     "clean_price_consistency": (f"WITH {_TRADED} SELECT count(*) AS n_rows, count(*) FILTER (WHERE close <= 0) AS n_not_positive, count(*) FILTER (WHERE vwap < 0.99 * low OR vwap > 1.01 * high) AS n_vwap_outside, count(*) FILTER (WHERE high < low) AS n_crossed FROM traded", {}),
     "store_insert_or_ignore": (f"WITH {_BATCH} SELECT code, date, volume FROM old UNION ALL SELECT code, date, volume FROM batch WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.code = batch.code AND old.date = batch.date)", {"volume": 2}),
-    "store_upsert": (f"WITH {_BATCH} SELECT batch.code, batch.date, old.close, batch.volume FROM batch LEFT JOIN old ON old.code = batch.code AND old.date = batch.date UNION ALL SELECT code, date, close, volume FROM old WHERE NOT EXISTS (SELECT 1 FROM batch WHERE old.code = batch.code AND old.date = batch.date)", {"close": 6, "volume": 2}),
+    "store_upsert": (f"WITH {_BATCH} SELECT batch.code, batch.date, old.close, batch.volume FROM batch LEFT JOIN old ON old.code = batch.code AND old.date = batch.date UNION ALL SELECT code, date, close, volume FROM old WHERE NOT EXISTS (SELECT 1 FROM batch WHERE old.code = batch.code AND old.date = batch.date)", {"close": 8, "volume": 2}),
     "store_date_ranges": (f"WITH {_TRADED} SELECT code, min(date) AS data_start, max(date) AS data_end FROM traded GROUP BY code", {}),
     "store_market_cap": (f"WITH {_TRADED} SELECT code, max_by(close, date) * max(cap) AS market_cap FROM traded GROUP BY code", {"market_cap": 2}),
     "store_price_adjustment": (f"WITH {_TRADED}, a AS (SELECT date, code, close, CAST(1 + year(date) % 4 AS DOUBLE) AS adj FROM traded) SELECT date, code, close * adj AS hfq, close * adj / max(adj) OVER (PARTITION BY code) AS qfq FROM a", {"hfq": 8, "qfq": 8}),
