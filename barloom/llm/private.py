@@ -4,13 +4,15 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers. Each foun
 value is a protected entity e. Terms t within WINDOW words of an entity are its
 context. Over the whole corpus, with document frequencies df and N documents,
 
-    PMI(e, t) = log(N df(e, t) / (df(e) df(t))),   IC(e) = log(N / df(e)),
+    PMI(e, t) = log(P(e | t) / P(e)),   IC(e) = -log P(e),   P(e) = df(e) / N,
+    P(e | t) = (df(e, t) + PRIOR P(e)) / (df(t) + PRIOR).
 
-PMI / IC is the share of e's information that t reveals: 1 if t never stands
+PMI / IC is the share of e's information that t reveals: near 1 if t never stands
 without e. A term at or above REMOVE is removed, one at or above GENERALISE is
-generalised to its class, in every document that holds the entity beside it. A
-pair counts only if seen in SUPPORT different contexts: copies of one context are
-one observation.
+generalised to its class, in every document that holds the entity beside it. Every
+observed pair is scored: PRIOR imagined documents with t, which hold e as often as
+any, make a rare pair count for less and never for nothing. Copies of one context
+are one observation: df(e, t) and df(t) are scaled by contexts a document.
 
 Scale. One map over the scan finds spans and contexts; texts without a digit or
 `@` cost one search. Pairs are rows of (entity, term) near entities only, counted
@@ -33,7 +35,8 @@ from barloom.llm.common import cut, text_of, words_of
 from barloom.llm.pieces import slices
 
 WINDOW = 8
-SUPPORT = 3
+#: Imagined documents with each term, by which P(e | t) is drawn towards P(e).
+PRIOR = 1.0
 GENERALISE, REMOVE = 0.75, 0.9
 BROADCAST_TERMS = 500_000
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
@@ -154,10 +157,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         run, f"doc_id {kind}, base string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, near array<struct<entity:string,term:string,s:bigint,e:bigint,context:string>>")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """entity, term, action for the pairs whose share of revealed information is at least `generalise`. found has row_key."""
     pairs = found.select("row_key", F.explode("near").alias("n")).select("row_key", "n.entity", "n.term", "n.context").distinct()
-    seen = cut(pairs.groupBy("entity", "term").agg(F.countDistinct("row_key").alias("both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support).drop("contexts"))
+    seen = cut(pairs.groupBy("entity", "term").agg(F.countDistinct("row_key").alias("both"), F.countDistinct("context").alias("contexts")))
     terms = seen.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     # words at the edges of which punctuation stands are counted without it, as in the contexts
@@ -167,12 +170,13 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", suppor
     corpus = counted.join(F.broadcast(terms) if few else terms, "term")
     held = found.select("row_key", F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
     n = found.agg(F.count("*").cast("double").alias("n")).scalar()
-    pmi = F.log(n * F.col("both") / (F.col("df_e") * F.greatest("df_t", "both")))
-    share = pmi / F.nullif(F.log(n / F.col("df_e")), F.lit(0.0))
+    chance, once = F.col("df_e") / n, F.least(F.lit(1.0), F.col("contexts") / F.col("both"))
+    told = (F.col("both") * once + prior * chance) / (F.greatest("df_t", "both") * once + prior)
+    share = F.log(told / chance) / F.nullif(-F.log(chance), F.lit(0.0))
     return seen.join(corpus, "term").join(held, "entity").withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("general").alias("action"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prior: float = PRIOR) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per input row.
 
     spans joins kind:start:end of the base spans and of the terms that reveal an
@@ -181,7 +185,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Equal rows get equal spans. No rows in, no rows out.
     """
     found = cut(find(docs, id_col, text_col, window).withColumn("row_key", F.monotonically_increasing_id()))
-    told = disclosing(found, docs, text_col, support)
+    told = disclosing(found, docs, text_col, prior)
     near = found.select("row_key", F.explode("near").alias("n")).select("row_key", "n.entity", "n.term", "n.s", "n.e")
     # the strongest action wins where a term stands beside several entities
     more = near.join(told, ["entity", "term"]).groupBy("row_key", "s", "e").agg(F.max("action").alias("action")).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("action", "s", "e"))).alias("more"))

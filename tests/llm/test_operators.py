@@ -174,6 +174,17 @@ def test_disclosing_terms(spark):
     assert private.redact(texts[0], spans[0]) == texts[0].replace("zebra", "").replace("x@y.example", "[email]")
 
 
+def test_disclosing_rare_terms(spark):
+    """Entities of one document, and of copies of it: no pair is too rare to be scored."""
+    texts = ["call plain zebra x@y.example now"] + ["call plain walrus u@v.example now"] * 2 + [f"plain words number {k} call now" for k in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in private.sanitise(df).collect()}
+    share = 1 - np.log((1 + 1) / (1 + 1 / 2003)) / np.log(2003)
+    assert private.REMOVE <= share and spans[0] == "email:17:28,removed:11:16"
+    copied = 1 - np.log((1 + 1) / (1 + 2 / 2003)) / np.log(2003 / 2)
+    assert private.REMOVE > copied >= private.GENERALISE and spans[1] == spans[2] == "email:18:29,general:11:17" and spans[3] == ""
+
+
 def test_licences(spark):
     data = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x", "nothing here"), (3, "a/b/y", "word " * 30 + "\nLicensed under CC BY-NC 4.0."), (4, "c/z", None), (5, None, "All rights reserved.")]
     df = spark.createDataFrame(data, "doc_id long, path string, text string")
