@@ -8,8 +8,11 @@ best template of at least SIMILAR is the unit's licence. A file that consists of
 licence for the most part speaks for its directory; a file without a licence of its
 own inherits from the nearest ancestor directory that has one.
 
-Scale. Only lines that hold a template's rarest word are exploded. Templates are a
-fixed table of TEMPLATES x terms, so they are broadcast. Inheritance joins distinct
+Scale. A unit is skipped only if its terms cannot give SIMILAR: by Cauchy-Schwarz the
+cosine is at most the share of the template's norm that lies in common terms, so the
+commonest terms of a template are left out as long as their share is below SIMILAR,
+and only units with one of its other terms are exploded. Templates are a fixed table
+of templates x terms, so they are collected and broadcast. Inheritance joins distinct
 directories with their ancestors by equality, never documents with documents.
 """
 
@@ -53,8 +56,17 @@ def _templates(docs: DataFrame) -> DataFrame:
     return rows.select("template", "licence", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
 
 
-#: Words of which each template holds at least one; other lines reach no template.
-CUES = ("licensed", "license", "released", "reserved", "permission", "redistribution")
+def _cues(weights: list, similar: float) -> list[str]:
+    """The terms of which a unit holds at least one if its cosine with any template is at least `similar`."""
+    cues, left = set(), {}
+    for row in sorted(weights, key=lambda r: (-(r["df"] or 0), r["term"])):
+        room = left.get(row["template"], max(0.0, similar - 1e-6) ** 2)  # scores are rounded at six digits
+        share = (row["tf"] * row["idf"] / row["norm"]) ** 2
+        if share < room:
+            left[row["template"]] = room - share
+        else:
+            cues.add(row["term"])
+    return sorted(cues)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, similar: float = SIMILAR) -> DataFrame:
@@ -68,29 +80,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """
     where = F.lit(None).cast("string") if path is None else path
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("doc_id"), where.alias("path"), text_of(text_col).alias("text"))
-    cue = "(?i)" + "|".join(CUES)
     templates = cut(_templates(docs))
     vocabulary = [r[0] for r in templates.select("term").distinct().collect()]  # of the fixed templates
-    n_words = F.size(_terms(F.col("text")))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(cue))
-    units = F.when(F.col("text").rlike(cue), F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.when(n_words <= FILE_WORDS, F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit")))).otherwise(F.expr("cast(array() as array<struct<whole:boolean,unit:string>>)"))))
-    known = F.array(*[F.lit(v) for v in sorted(vocabulary)])
-    # one pass over the texts: the few units, and which of the templates' terms each text holds
-    held = cut(rows.select("row_key", "doc_id", "path", units.alias("units"), F.when(F.col("text").rlike(cue), n_words).alias("n_words"), F.array_intersect(_terms(F.col("text")), known).alias("has")))
-    n = held.agg(F.count("*").cast("double").alias("n")).scalar()
-    frequency = held.select(F.explode("has").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weights = templates.join(frequency, "term", "left").withColumn("idf", F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).withColumn("norm", F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).over(Window.partitionBy("template"))))
-    exploded = held.where(F.size("units") > 0).select("row_key", "n_words", F.posexplode("units").alias("u", "unit")).select("row_key", "n_words", "u", "unit.whole", _terms(F.col("unit.unit")).alias("terms"))
+    terms = _terms(F.col("text"))
+    n = float(rows.count())
+    frequency = rows.select(F.explode(F.array_distinct(F.filter(terms, lambda t: t.isin(vocabulary)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = cut(templates.join(frequency, "term", "left").withColumn("idf", F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).withColumn("norm", F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).over(Window.partitionBy("template")))))
+    cues = _cues(weights.collect(), similar)
+    held = cut(rows.select("row_key", "doc_id", "path", F.when(F.exists(terms, lambda t: t.isin(cues)), F.col("text")).alias("text")))
+    n_words = F.size(terms)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.exists(_terms(x), lambda t: t.isin(cues)))
+    units = F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.when(n_words <= FILE_WORDS, F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit")))).otherwise(F.expr("cast(array() as array<struct<whole:boolean,unit:string>>)")))
+    exploded = held.where("text IS NOT NULL").select("row_key", n_words.alias("n_words"), F.posexplode(units).alias("u", "unit")).select("row_key", "n_words", "u", "unit.whole", _terms(F.col("unit.unit")).alias("terms"))
     counted = exploded.select("row_key", "n_words", "u", "whole", F.size("terms").alias("unit_words"), F.explode("terms").alias("term")).groupBy("row_key", "n_words", "u", "whole", "unit_words", "term").agg(F.count("*").alias("n"))
     idf = weights.select("term", "idf").distinct()
-    weighed = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.log(n + 1) + 1)).drop("idf")
+    weighed = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.log(F.lit(n) + 1) + 1)).drop("idf")
     norms = weighed.groupBy("row_key", "u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("unit_norm"))
     dots = weighed.join(F.broadcast(weights), "term").groupBy("row_key", "n_words", "u", "whole", "unit_words", "template", "licence", "norm").agg(F.sum(F.col("w") * F.col("tf") * F.col("idf")).alias("dot"))
     matched = dots.join(norms, ["row_key", "u"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6))
     best = matched.groupBy("row_key", "n_words", "u", "whole", "unit_words").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).where(-F.col("b.s") >= similar)
     own = best.groupBy("row_key", "n_words").agg(F.min("b").alias("b"), F.sort_array(F.collect_set("b.licence")).alias("licences"), F.sum(F.when(~F.col("whole"), F.col("unit_words")).otherwise(0)).alias("line_words"), F.max("whole").alias("whole")).select(
         "row_key", F.col("b.licence").alias("own_licence"), (-F.col("b.s")).alias("own_score"), "licences", (F.col("whole") | (F.col("line_words") >= FILE_SHARE * F.col("n_words"))).alias("is_file"))
-    files = held.drop("units", "has", "n_words").join(own, "row_key", "left").withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    files = held.drop("text").join(own, "row_key", "left").withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     files = cut(files.withColumn("dir", F.when(F.col("path").contains("/"), F.col("dir"))))
     speaks = files.where("is_file AND dir IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_licence").alias("licence"))).alias("b")).select(F.col("dir").alias("ancestor"), F.col("b.licence").alias("dir_licence"))
     parts = F.split("dir", "/")

@@ -192,6 +192,32 @@ def test_licences(spark):
     assert got == {1: ("MIT", "MIT", None), 2: (None, "MIT", "a"), 3: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 4: (None, None, None), 5: ("LicenseRef-Proprietary", "LicenseRef-Proprietary", None)}
 
 
+def test_licence_lines(spark):
+    """Every line is compared: scores against all lines by brute force."""
+    terms = lambda t: [w for w in (x.strip(".-") for x in re.split(r"[^\w.\-]+", t.lower())) if w]
+    rng = random.Random(8)
+    texts = ["under CC BY-NC 4.0", "CC BY-NC 4.0", "public domain, CC0 1.0", "GNU Lesser General Public Licence, version 3", "Dedicated to the public domain under CC0 1.0"]
+    for _ in range(60):
+        words = rng.choice(licences.TEMPLATES[:13])[1].split()
+        texts.append(" ".join(rng.sample(words, rng.randint(1, len(words))) + ["other"] * rng.randint(0, 2)))
+    texts += ["the of and to in by any other text"] * 40 + ["text " * 500 + "\n" + x for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.own_score for r in licences.scan(df).collect()}
+    known = [collections.Counter(terms(x[1])) for x in licences.TEMPLATES]
+    held = collections.Counter(t for x in texts for t in set(terms(x)))
+    idf = lambda t: np.log((len(texts) + 1) / (held[t] + 1)) + 1 if any(t in k for k in known) else np.log(len(texts) + 1) + 1
+    vectors = lambda c: {t: k * idf(t) for t, k in c.items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    sides = [(v, norm(v)) for v in map(vectors, known)]
+    for k, text in enumerate(texts):
+        scores = [0.0]
+        for line in {text, *text.split("\n")}:
+            v = vectors(collections.Counter(terms(line)))
+            scores += [sum(x * w.get(t, 0) for t, x in v.items()) / (n * norm(v)) for w, n in sides]
+        assert got[k] == (pytest.approx(max(scores), abs=2e-6) if max(scores) >= licences.SIMILAR else None), text
+    assert got[0]
+
+
 def test_suffixes(docs):
     got = collections.Counter(tuple(r) for r in suffixes.remove_repeats(docs).collect())
     order = sorted(rows(), key=lambda r: (r[0] is None, r[0] or 0))
