@@ -1,11 +1,11 @@
 r"""Licence scans (native): TF-IDF cosine to templates, then inheritance along paths.
 
-Units are the lines of every text, and the whole text where it is short enough to be
-a licence file. A unit is compared with each template by the cosine of sparse
+Units are the lines of every text, and the whole text. Templates are short notices
+and the full texts of licences. A unit is compared with each template by the cosine of sparse
 TF-IDF vectors; document frequencies are counted over the whole corpus for the
 terms of the templates, and a term outside them weighs as much as the rarest. The
-best template of at least SIMILAR is the unit's licence. A file that consists of a
-licence for the most part speaks for its directory; a file without a licence of its
+best template of at least SIMILAR is the unit's licence. A file whose whole text has
+a licence, or which consists of licence lines for the most part, speaks for its directory; a file without a licence of its
 own inherits from the nearest ancestor directory that has one.
 
 Scale. A unit is skipped only if its terms cannot give SIMILAR: by Cauchy-Schwarz the
@@ -18,6 +18,8 @@ directories with their ancestors by equality, never documents with documents.
 
 from __future__ import annotations
 
+from importlib.resources import files as resources
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ from barloom.llm.common import cut, text_of
 SIMILAR = 0.7
 #: A file is a licence file if its licence lines hold at least this share of its words.
 FILE_SHARE = 0.5
-FILE_WORDS = 400
 
 #: Short public licence notices and their SPDX identifiers.
 TEMPLATES = (
@@ -46,13 +47,19 @@ TEMPLATES = (
 )
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """The identifiers and full texts in licence_texts, read by the driver alone."""
+    texts = resources(__package__).joinpath("licence_texts").iterdir()
+    return sorted((x.name.removesuffix(".txt"), x.read_text(encoding="utf-8")) for x in texts if x.name.endswith(".txt"))
+
+
 def _terms(text: Column) -> Column:
     """Lower-case runs of letters, digits, points and hyphens, without points and hyphens at the ends."""
     return F.filter(F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}.\-]+"), lambda w: F.btrim(w, F.lit(".-"))), lambda w: w != "")
 
 
 def _templates(docs: DataFrame) -> DataFrame:
-    rows = docs.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(TEMPLATES)], "template int, licence string, notice string")
+    rows = docs.sparkSession.createDataFrame([(k, *x) for k, x in enumerate([*TEMPLATES, *full_texts()])], "template int, licence string, notice string")
     return rows.select("template", "licence", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
 
 
@@ -90,7 +97,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     held = cut(rows.select("row_key", "doc_id", "path", F.when(F.exists(terms, lambda t: t.isin(cues)), F.col("text")).alias("text")))
     n_words = F.size(terms)
     lines = F.filter(F.split("text", "\n"), lambda x: F.exists(_terms(x), lambda t: t.isin(cues)))
-    units = F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.when(n_words <= FILE_WORDS, F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit")))).otherwise(F.expr("cast(array() as array<struct<whole:boolean,unit:string>>)")))
+    units = F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))
     exploded = held.where("text IS NOT NULL").select("row_key", n_words.alias("n_words"), F.posexplode(units).alias("u", "unit")).select("row_key", "n_words", "u", "unit.whole", _terms(F.col("unit.unit")).alias("terms"))
     counted = exploded.select("row_key", "n_words", "u", "whole", F.size("terms").alias("unit_words"), F.explode("terms").alias("term")).groupBy("row_key", "n_words", "u", "whole", "unit_words", "term").agg(F.count("*").alias("n"))
     idf = weights.select("term", "idf").distinct()

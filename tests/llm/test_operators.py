@@ -203,7 +203,7 @@ def test_licence_lines(spark):
     texts += ["the of and to in by any other text"] * 40 + ["text " * 500 + "\n" + x for x in texts]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.own_score for r in licences.scan(df).collect()}
-    known = [collections.Counter(terms(x[1])) for x in licences.TEMPLATES]
+    known = [collections.Counter(terms(x[1])) for x in [*licences.TEMPLATES, *licences.full_texts()]]
     held = collections.Counter(t for x in texts for t in set(terms(x)))
     idf = lambda t: np.log((len(texts) + 1) / (held[t] + 1)) + 1 if any(t in k for k in known) else np.log(len(texts) + 1) + 1
     vectors = lambda c: {t: k * idf(t) for t, k in c.items()}
@@ -218,6 +218,16 @@ def test_licence_lines(spark):
     assert got[0]
 
 
+def test_licence_files(spark):
+    """Standard licence files of any length speak for their directories."""
+    texts = dict(licences.full_texts())
+    data = [(f"{k}/LICENSE", "Copyright (c) 2020 Some Body and others\n\n" + texts[k].replace("\n", " ").replace(". ", ".\n")) for k in texts] + [(f"{k}/src/x", "nothing here") for k in texts]
+    df = spark.createDataFrame(data, "path string, text string").selectExpr("path AS doc_id", "path", "text")
+    got = {r.doc_id: (r.licence, r.inherited_from) for r in licences.scan(df, path=df["path"]).collect()}
+    for k in texts:
+        assert got[f"{k}/LICENSE"] == (k, None) and got[f"{k}/src/x"] == (k, k)
+
+
 def test_suffixes(docs):
     got = collections.Counter(tuple(r) for r in suffixes.remove_repeats(docs).collect())
     order = sorted(rows(), key=lambda r: (r[0] is None, r[0] or 0))
