@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, text_of, without, without_white
+from barloom.llm.common import body_of, cut, one_of_each, text_of, without_white
 
 BLOCK_BYTES = 4096
 SALTS = 16
@@ -32,12 +32,12 @@ def _named_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int,
     raw = F.col("raw")
     last = F.greatest(F.lit(0), F.ceil(F.octet_length(raw) / block_bytes).cast("int") - 1)
     heads = (
-        docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("doc_id"), F.char_length(text_of(text_col)).cast("long").alias("n_points"), F.encode(without_white(text_of(text_col)), "utf-8").alias("raw"))
-        .select("row_key", "doc_id", "n_points", F.sha2(raw, 256).alias("sha"), (last + 1).alias("n_blocks"), F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block_bytes + 1, block_bytes)).alias("blocks"))
+        docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("doc_id"), F.char_length(text_of(text_col)).cast("long").alias("n_points"), body_of(text_col).alias("body"), F.encode(without_white(text_of(text_col)), "utf-8").alias("raw"))
+        .select("row_key", "doc_id", "n_points", "body", F.sha2(raw, 256).alias("sha"), (last + 1).alias("n_blocks"), F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block_bytes + 1, block_bytes)).alias("blocks"))
     )
     first = F.col("pos") == 0
-    blocks = heads.select("row_key", "n_blocks", "doc_id", "n_points", "sha", F.posexplode("blocks").alias("pos", "block")).select(
-        "row_key", "n_blocks", "pos", "block", F.monotonically_increasing_id().alias("slot"), F.pmod(F.xxhash64("row_key"), F.lit(salts)).alias("salt"), *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_points", "sha")]
+    blocks = heads.select("row_key", "n_blocks", "doc_id", "n_points", "body", "sha", F.posexplode("blocks").alias("pos", "block")).select(
+        "row_key", "n_blocks", "pos", "block", F.monotonically_increasing_id().alias("slot"), F.pmod(F.xxhash64("row_key"), F.lit(salts)).alias("salt"), *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_points", "body", "sha")]
     )
     # equal blocks of a salt lie together after the sort; the run is named by its smallest slot
     salted = blocks.withColumn("run", F.min("slot").over(Window.partitionBy("block", "salt")))
@@ -48,9 +48,9 @@ def _named_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int,
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, salts: int = SALTS) -> DataFrame:
-    """One row per input row: doc_id, n_points, sha, n_blocks, name. Equal texts have equal (n_blocks, name)."""
+    """One row per input row: doc_id, n_points, body, sha, n_blocks, name. Equal texts have equal (n_blocks, name)."""
     blocks = cut(_named_blocks(docs, id_col, text_col, block_bytes, salts))
-    heads = blocks.where("pos = 0").select("row_key", "doc_id", "n_points", "sha")
+    heads = blocks.where("pos = 0").select("row_key", "doc_id", "n_points", "body", "sha")
     left, finished = blocks.select("row_key", "n_blocks", F.col("n_blocks").alias("width"), "pos", "slot", "name"), []
     while True:
         finished.append(left.where("width = 1").select("row_key", "n_blocks", "name"))
@@ -63,6 +63,14 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return heads.join(reduce(DataFrame.unionAll, finished), "row_key").drop("row_key")
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, salts: int) -> DataFrame:
+    """The identities with group_size and best, the row of the group that stays."""
+    rows = identities(docs, id_col, text_col, block_bytes, salts)
+    place = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").alias("keep_id"), F.col("body").alias("keep_body"))
+    groups = rows.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), F.min(place).alias("best"))
+    return rows.join(groups, ["n_blocks", "name"])
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, salts: int = SALTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_points: one row per input row.
 
@@ -72,19 +80,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that repeat a doc_id with an equal text of the same length are one document:
     they share keep_id and kept, and each counts in group_size. No rows in, no rows out.
     """
-    rows = identities(docs, id_col, text_col, block_bytes, salts)
-    groups = rows.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").alias("keep_id"))).alias("best"))
-    return rows.join(groups, ["n_blocks", "name"]).select(
+    return _judged(docs, id_col, text_col, block_bytes, salts).select(
         "doc_id", F.col("best.keep_id").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (-F.col("n_points") == F.col("best.n"))).alias("kept"), F.col("sha").alias("text_sha256"), "n_points"
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = cut(exact_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_n")))
-    text = text_of(text_col)
-    on = docs[id_col].eqNullSafe(F.col("_gone")) & (F.sha2(F.encode(without_white(text), "utf-8"), 256) == F.col("_sha")) & (F.char_length(text) == F.col("_n"))
-    return without(docs, gone, on)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, salts: int = SALTS) -> DataFrame:
+    """One row of docs for each group of equal texts, with all its columns.
+
+    The row that stays is that of exact_duplicates; of rows that repeat its doc_id
+    and text, one. Null ids, null and empty texts and columns of any name are
+    handled as there. No rows in, no rows out.
+    """
+    stays = F.col("doc_id").eqNullSafe(F.col("best.keep_id")) & (F.col("body") == F.col("best.keep_body"))
+    judged = cut(_judged(docs, id_col, text_col, block_bytes, salts).select("doc_id", "body", stays.alias("stays")))
+    return one_of_each(docs, judged, id_col, text_col)
 
 
 SQL = r"""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, text_of, without
+from barloom.llm.common import body_of, cut, one_of_each, small, text_of
 from barloom.llm.graphs import components
 from barloom.llm.pieces import slices
 
@@ -107,11 +107,11 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands:
                 for part, texts in slices(batch, "text"):
                     sets = shingle_sets(texts, hashes, words)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() if len(x) else "" for x in sets], pa.string()), pa.array([band_hashes(x, bands, rows) if len(x) else None for x in sets], pa.list_(pa.int64()))],
-                        names=["doc_id", "set_key", "bands"],
+                        [part.column("doc_id"), part.column("body"), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() if len(x) else "" for x in sets], pa.string()), pa.array([band_hashes(x, bands, rows) if len(x) else None for x in sets], pa.list_(pa.int64()))],
+                        names=["doc_id", "body", "set_key", "bands"],
                     )
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, set_key string, bands array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), body_of(text_col).alias("body"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, body long, set_key string, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar: float) -> np.ndarray:
@@ -184,39 +184,53 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "c long, comp long, tiles int, shingles binary, same boolean").where("same").drop("same")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
-    """doc_id, class_id, class_size, n_links, group_id: one row per input row.
-
-    Documents with one shingle set are a class, named by its smallest doc_id.
-    n_links counts the other classes whose similarity is at least `similar`; the
-    links chain classes to groups, named by the smallest doc_id in them. Texts of
-    fewer than `words` words have one shingle of all their words. Null, empty and
-    blank texts have no shingle: they are one class and group without links. Rows that repeat a
-    doc_id count one by one in class_size. No rows in, no rows out.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, similar: float, bands: int, rows: int, tile: int) -> DataFrame:
+    """doc_id, body, class_id, class_size, n_links and first, the row (n, doc_id, body) that names the group."""
     signs = cut(_signatures(docs, id_col, text_col, words, bands, rows))
-    classes = cut(signs.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.first("bands").alias("bands"))).withColumn("c", F.monotonically_increasing_id())
+    # a class is named by its row of the smallest id, null last
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "body"))
+    classes = cut(signs.groupBy("set_key").agg(least.alias("first"), F.count("*").alias("class_size"), F.first("bands").alias("bands")).withColumn("c", F.monotonically_increasing_id()))
     members = classes.where("bands IS NOT NULL").select("c", F.posexplode("bands").alias("band", "hash"))
     leads = members.groupBy("band", "hash").agg(F.min("c").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = components(members.join(leads, ["band", "hash"]).where("c <> lead").select(F.col("c").alias("a"), F.col("lead").alias("b")))
     sizes = near.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    wanted = cut(near.join(sizes, "root").select(F.col("node").alias("c"), F.col("root").alias("comp"), "tiles").join(classes.select("c", "set_key", "class_id"), "c"))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("class_id"), text_of(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "class_id").select("c", "set_key", "comp", "tiles", "text")
-    # a class whose smallest doc_id is repeated may meet its text more than once
+    wanted = cut(near.join(sizes, "root").select(F.col("node").alias("c"), F.col("root").alias("comp"), "tiles").join(classes.select("c", "set_key", "first.doc_id", F.col("first.body").alias("class_body")), "c").withColumnRenamed("doc_id", "class_id"))
+    held = docs.select(F.col(id_col).alias("id"), body_of(text_col).alias("body"), text_of(text_col).alias("text"))
+    texts = held.join(small(wanted, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("class_id")) & (F.col("body") == F.col("class_body"))).select("c", "set_key", "comp", "tiles", "text")
+    # a row that names a class may be repeated
     sets = _sets(texts, words).dropDuplicates(["c"])
     own = F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int")
     dealt = sets.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("c", "comp", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "shingles")
     found = cut(dealt.groupBy("comp", "i", "j").applyInArrow(_verify(similar), "c long, n long, root long"))
     counts = found.groupBy("c").agg(F.sum("n").alias("n_links"))
     groups = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
-    first = groups.join(classes.select(F.col("c").alias("node"), "class_id"), "node").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    grouped = groups.join(first, "root").select(F.col("node").alias("c"), "group_id")
-    told = classes.drop("bands").join(counts, "c", "left").join(grouped, "c", "left").select("set_key", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
-    return signs.select("doc_id", "set_key").join(told, "set_key").drop("set_key")
+    first = groups.join(classes.select(F.col("c").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("group_first"))
+    grouped = groups.join(first, "root").select(F.col("node").alias("c"), "group_first")
+    told = classes.drop("bands").join(counts, "c", "left").join(grouped, "c", "left").select("set_key", F.col("first.doc_id").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_first", "first").alias("first"))
+    return signs.select("doc_id", "body", "set_key").join(told, "set_key").drop("set_key")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+    """doc_id, class_id, class_size, n_links, group_id: one row per input row.
+
+    Documents with one shingle set are a class, named by its smallest doc_id (null
+    only if all are null). n_links counts the other classes whose similarity is at
+    least `similar`; the links chain classes to groups, named by the smallest doc_id
+    in them. Texts of fewer than `words` words have one shingle of all their words.
+    Null, empty and blank texts have no shingle: they are one class and group
+    without links. Rows that repeat a doc_id count one by one in class_size, also
+    where their texts differ. No rows in, no rows out.
+    """
+    return _judged(docs, id_col, text_col, words, similar, bands, rows, tile).select("doc_id", "class_id", "class_size", "n_links", F.col("first.doc_id").alias("group_id"))
+
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+    """One row of docs for each group of jaccard_join, with all its columns.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay: of each group those with its smallest doc_id."""
-    gone = cut(jaccard_join(docs, id_col, text_col, **how).where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_gone")))
-    return without(docs, gone, docs[id_col].eqNullSafe(F.col("_gone")))
+    The row with the smallest doc_id (null last) stays; of rows that repeat its
+    doc_id and text, one. A row of another text under the same doc_id is judged by
+    its own group. Columns may have any names. No rows in, no rows out.
+    """
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body"))
+    judged = cut(_judged(docs, id_col, text_col, words, similar, bands, rows, tile).select("doc_id", "body", stays.alias("stays")))
+    return one_of_each(docs, judged, id_col, text_col)

@@ -23,7 +23,7 @@ from importlib.resources import files as resources
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, text_of
+from barloom.llm.common import cut, small, text_of
 
 SIMILAR = 0.7
 #: A file is a licence file if its licence lines hold at least this share of its words.
@@ -115,5 +115,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     ancestors = files.where("own_licence IS NULL AND dir IS NOT NULL").select("dir").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("ancestor"))
     nearest = ancestors.join(speaks, "ancestor").groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "dir_licence")).alias("a")).select("dir", F.col("a.ancestor").alias("ancestor"), F.col("a.dir_licence").alias("dir_licence"))
     mine = F.col("own_licence").isNotNull()
-    return files.join(nearest, "dir", "left").select(
+    # directories are far fewer than files, and one may hold most of them
+    return files.join(small(nearest), "dir", "left").select(
         "doc_id", "path", "own_licence", "own_score", "licences", F.coalesce("own_licence", "dir_licence").alias("licence"), F.when(~mine, F.col("ancestor")).alias("inherited_from"))

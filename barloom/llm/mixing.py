@@ -17,16 +17,22 @@ tree sees one row per source.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, text_of, words_of
+from barloom.llm.common import cut, small, text_of, words_of
 
 BLOCK_DOCS = 4096
 SHARDS = 16
 SEED = 20240501
+#: Rows up to which the tables of sources and of blocks are broadcast.
+MOST_SOURCES, MOST_BLOCKS = 100_000, 500_000
+#: A shard is dealt in 2 ** RUN_BITS runs of order keys.
+RUN_BITS = 8
 
 
 def _source_key(source: str) -> Column:
@@ -65,18 +71,12 @@ def split_quotas(counts: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_quotas(drawn, left, rng), split_quotas(counts - drawn, shards - left, rng)])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, block_docs: int = BLOCK_DOCS, seed: int = SEED, most: float = 3.0) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies, shards, order_keys.
+def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col(id_col).alias("doc_id"), _source_key(source_col).alias("src"), F.size(words_of(text_of(text_col))).cast("long").alias("size"), F.xxhash64(id_col, text_col).alias("body"))
 
-    size counts the words of the text (null: 0). copies is how often the mix takes
-    the document, at most `most`; taken = size * copies. shards and order_keys have
-    one entry per copy: the output shard and the place of the copy inside it.
-    Documents without words are in no shard. Rows that repeat a doc_id are mixed
-    row by row; equal rows lie in one block and may be taken differently only by
-    their order there. No rows in, no rows out. The same rows and seed give the same mix.
-    """
-    # texts are read once: the narrow rows are used several times below
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), _source_key(source_col).alias("src"), F.size(words_of(text_of(text_col))).cast("long").alias("size"), F.xxhash64(id_col, text_col).alias("body")))
+
+def _drawn(rows: DataFrame, shards: int, block_docs: int, seed: int, most: float) -> Callable[[DataFrame], DataFrame]:
+    """The draw from narrow rows (doc_id, src, size, body), as a function that adds its columns to any such rows."""
     sources = targets(rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).select("src", "source_size"), most)
     counted = rows.groupBy("src").agg(F.count("*").alias("n_docs"))
     plan = (
@@ -85,7 +85,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
         .withColumn("n_blocks", F.ceil(F.col("n_docs") / block_docs))
     )
-    placed = rows.join(F.broadcast(plan) if plan_is_small(plan) else plan, "src").withColumn("block", F.pmod(_mix_hash(seed, "doc_id", "body"), F.col("n_blocks")))
+    plan = small(cut(plan), MOST_SOURCES)
+
+    def placing(some: DataFrame) -> DataFrame:
+        return some.join(plan, "src").withColumn("block", F.pmod(_mix_hash(seed, "doc_id", "body"), F.col("n_blocks")))
+
+    placed = placing(rows)
     permuted = Window.partitionBy("src").orderBy(_mix_hash(seed + 1, "src", "block"), "block")
     blocks = (
         placed.groupBy("src", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
@@ -115,23 +120,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .select("src", "block", F.aggregate("each", F.struct(F.col("room").alias("room"), F.expr("cast(array() as array<bigint>)").alias("took")),
                                              lambda a, x: F.when(x["size"].cast("double") <= a["room"], F.struct((a["room"] - x["size"]).alias("room"), F.concat(a["took"], F.array(x["h"])).alias("took"))).otherwise(a))["took"].alias("took"))
     )
-    table = drawn.join(edge, ["src", "block"], "left").drop("room")
+    # a row for each block_docs documents; no document's own row is in it but those of boundary blocks
+    table = small(cut(drawn.join(edge, ["src", "block"], "left").drop("room", "passes")), MOST_BLOCKS)
     extra = F.when(F.col("part") == "all", 1).when(F.col("part") == "edge", F.array_contains("took", _mix_hash(seed + 2, "doc_id", "body")).cast("int")).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("passes") + F.coalesce(extra, F.lit(0))).otherwise(0).cast("int")
-    return (
-        placed.select("doc_id", "src", "size", "source_size", "target", "block", "body").join(table, ["src", "block"]).withColumn("copies", copies)
-        .withColumn("shards", F.slice("unit_shards", 1, F.col("copies")))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards", F.transform("shards", lambda s, i: _mix_hash(seed + 3, "doc_id", "body", s, i)).alias("order_keys"), "body")
-    )
+    own = F.slice("unit_shards", 1, F.col("copies"))
 
+    def apply(some: DataFrame) -> DataFrame:
+        told = placing(some).join(table, ["src", "block"]).withColumn("copies", copies).withColumn("shards", own)
+        return told.withColumn("order_keys", F.transform("shards", lambda s, i: _mix_hash(seed + 3, "doc_id", "body", s, i)))
 
-def plan_is_small(plan: DataFrame, most_rows: int = 100_000) -> bool:
-    """Whether the table of sources may be broadcast; beyond it the join shuffles."""
-    return plan.limit(most_rows + 1).count() <= most_rows
+    return apply
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: each row of docs as often as the mix takes it, with its columns."""
-    drawn = mix(docs, id_col, text_col, source_col, **how).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.max("copies").alias("_copies"))
-    on = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(id_col, text_col) == F.col("_body"))
-    return docs.join(drawn, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, block_docs: int = BLOCK_DOCS, seed: int = SEED, most: float = 3.0) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, copies, shards, order_keys.
+
+    size counts the words of the text (null: 0). copies is how often the mix takes
+    the document, at most `most`; taken = size * copies. shards and order_keys have
+    one entry per copy: the output shard and the place of the copy inside it.
+    Documents without words are in no shard. Rows that repeat a doc_id are mixed
+    row by row; equal rows lie in one block and may be taken differently only by
+    their order there. No rows in, no rows out. The same rows and seed give
+    the same mix. The words taken of a source stay under its target by less than its
+    longest document.
+    """
+    # texts are read once: the narrow rows are used several times
+    rows = cut(_narrow(docs, id_col, text_col, source_col))
+    told = _drawn(rows, shards, block_docs, seed, most)(rows)
+    return told.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards", "order_keys", "body")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, block_docs: int = BLOCK_DOCS, seed: int = SEED, most: float = 3.0) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it, with its columns, by shard and in each shard by order key.
+
+    A shard is dealt in runs of order keys, so that it need not fit one task; within
+    a partition rows lie by (shard, key). Columns may have any names. Texts are
+    shuffled once. Rows without words are not taken. No rows in, no rows out.
+    """
+    apply = _drawn(cut(_narrow(docs, id_col, text_col, source_col)), shards, block_docs, seed, most)
+    told = apply(_narrow(docs, id_col, text_col, source_col, F.struct("*").alias("row"))).where("copies > 0")
+    each = told.select("row", F.explode(F.arrays_zip("shards", "order_keys")).alias("at")).select("row", F.col("at.shards").alias("shard"), F.col("at.order_keys").alias("key"))
+    runs = F.shiftright("key", 64 - RUN_BITS)
+    return each.repartition(F.col("shard"), runs).sortWithinPartitions("shard", "key").select("row.*")

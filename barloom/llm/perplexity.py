@@ -6,8 +6,9 @@ the log perplexities of its documents: median + SPREAD * (upper - median), with
 upper the UPPER quantile. The limit thus follows the spread of ordinary documents
 and does not cut a fixed share of them.
 
-A character is its code point, those of 3840 and above hashed to 256 classes, so that
-five fit a long. NUL stands before the start of a text.
+A character is one unit of 12 bits, its code point; those of WIDE and above are two
+units, so that every character keeps its identity and five units fit a long. NUL
+stands before the start of a text. The perplexity is that of a character.
 
 Scale. Documents are packed into blocks, shuffled once, and read in two passes. A
 block sends its distinct n-grams by shard (hash of the first three characters), as
@@ -33,6 +34,8 @@ from barloom.llm.pieces import slices
 from barloom.llm.suffixes import _expand, _squeeze
 
 ORDER, BITS = 5, 12
+#: The first code point of two units: WIDE + the upper bits, then the lower twelve.
+WIDE = 4096 - (0x110000 >> BITS)
 BLOCK_CHARS = 4_000_000
 UPPER, SPREAD = 0.8, 6.0
 #: A text of n characters is held to the limit plus SHORT / sqrt(n): its mean varies more.
@@ -41,15 +44,20 @@ BROADCAST_IDS = 1_000_000
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-gram that ends at each character, and the number of characters of each text."""
-    sizes = np.array([len(t) for t in texts], np.int64)
+    """The 5-gram that ends at each unit, and the number of units of each text."""
+    chars_of = np.array([len(t) + ORDER - 1 for t in texts], np.int64)
     lead = "\0" * (ORDER - 1)
     chars = np.frombuffer("".join(lead + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    chars = np.where(chars < 3840, chars, 3840 + (chars * np.uint32(2654435761) >> np.uint32(24))).astype(np.int64)
+    wide = chars >= WIDE
+    at = np.cumsum(1 + wide) - 1
+    units = np.empty(len(chars) + int(wide.sum()), np.int64)
+    units[at] = np.where(wide, chars & np.uint32((1 << BITS) - 1), chars)
+    units[at[wide] - 1] = WIDE + (chars[wide] >> np.uint32(BITS))
+    chars, ends = units, np.concatenate([at, np.array([-1])])[np.cumsum(chars_of) - 1] + 1
+    sizes = np.diff(ends, prepend=0) - ORDER + 1
     full = np.zeros(len(chars), np.int64)
     for k in range(ORDER):
         full[k:] |= chars[: len(chars) - k] << (BITS * k)
-    ends = np.cumsum(sizes + ORDER - 1)
     own = np.ones(len(chars), bool)
     for k in range(ORDER - 1):
         own[(ends - sizes - ORDER + 1 + k)[sizes >= 0]] = False
@@ -178,12 +186,13 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     def score(own: pa.Table, logs: pa.Table) -> pa.Table:
         ids_, langs, sizes, out = [], [], [], []
         if own.num_rows:
-            grams = _Grams(_texts(own.column("payload")[0].as_py()), shards)
+            texts = _texts(own.column("payload")[0].as_py())
+            grams = _Grams(texts, shards)
             p = np.zeros(len(grams.grams), np.float64)
             for s, x in zip(logs.column("shard").to_pylist(), logs.column("logs").to_pylist()):
                 p[grams.edges[s] : grams.edges[s + 1]] = _expand(x)[0].view(np.float32)
             sums = np.bincount(np.repeat(np.arange(len(grams.sizes)), grams.sizes), p[grams.at], minlength=len(grams.sizes))
-            ids_, langs, sizes = own.column("ids")[0].as_py(), own.column("langs")[0].as_py(), grams.sizes.tolist()
+            ids_, langs, sizes = own.column("ids")[0].as_py(), own.column("langs")[0].as_py(), [len(t) for t in texts]
             out = [round(math.exp(min(700.0, -s / n)), 6) if n else None for s, n in zip(sums.tolist(), sizes)]
         return pa.table([pa.array(ids_, own.schema.field("ids").type.value_type), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "lang", "n_chars", "perplexity"])
 

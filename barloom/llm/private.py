@@ -9,7 +9,7 @@ context. Over the whole corpus, with document frequencies df and N documents,
 
 PMI / IC is the share of e's information that t reveals: near 1 if t never stands
 without e. A term at or above REMOVE is removed, one at or above GENERALISE is
-generalised to its class, in every document that holds the entity beside it. Every
+generalised to its class, at all its places in every document that holds the entity beside it. Every
 observed pair is scored: PRIOR imagined documents with t, which hold e as often as
 any, make a rare pair count for less and never for nothing. Copies of one context
 are one observation: df(e, t) and df(t) are scaled by contexts a document.
@@ -114,6 +114,20 @@ def _contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list
     return out
 
 
+def _occurrences(text: str, near: list[dict]) -> list[dict]:
+    """All places of the terms of `near` in a text: term, s, e, outside the found values' own words as in the contexts."""
+    wanted = {x["term"] for x in near}
+    if not wanted:
+        return []
+    out = []
+    for m in _WORD.finditer(text):
+        w = m[0]
+        s, e = m.start() + len(w) - len(w.lstrip(_EDGE)), m.end() - (len(w) - len(w.rstrip(_EDGE)))
+        if s < e and text[s:e].lower() in wanted:
+            out.append({"term": text[s:e].lower(), "s": s, "e": e})
+    return out
+
+
 def _words_after(text: str, at: int, window: int) -> list[re.Match]:
     out = []
     for m in _WORD.finditer(text, at):
@@ -138,23 +152,26 @@ def _words_before(text: str, at: int, window: int) -> list[re.Match]:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, base (spans joined), n_email, n_ip, n_card, n_phone, base_sha256, near: one row per input row."""
+    """doc_id, base (spans joined), n_email, n_ip, n_card, n_phone, base_sha256, near, places (of the terms of near in the whole text): one row per input row."""
     kind = docs.schema[id_col].dataType.simpleString()
     near_type = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int64()), ("e", pa.int64()), ("context", pa.string())]))
 
+    place_type = pa.list_(pa.struct([("term", pa.string()), ("s", pa.int64()), ("e", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 spans = [base_spans(t) for t in texts]
+                near = [_contexts(t, x, window) for t, x in zip(texts, spans)]
                 base = [_joined(x) for x in spans]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(base, pa.string()), *[pa.array([sum(k == name for k, _, _ in x) for x in spans], pa.int64()) for name in KINDS[:4]],
-                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array([_contexts(t, x, window) for t, x in zip(texts, spans)], near_type)],
-                    names=["doc_id", "base", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "near"],
+                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array(near, near_type), pa.array([_occurrences(t, x) for t, x in zip(texts, near)], place_type)],
+                    names=["doc_id", "base", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "near", "places"],
                 )
 
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, base string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, near array<struct<entity:string,term:string,s:bigint,e:bigint,context:string>>")
+        run, f"doc_id {kind}, base string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, near array<struct<entity:string,term:string,s:bigint,e:bigint,context:string>>, places array<struct<term:string,s:bigint,e:bigint>>")
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -186,9 +203,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     found = cut(find(docs, id_col, text_col, window).withColumn("row_key", F.monotonically_increasing_id()))
     told = disclosing(found, docs, text_col, prior)
-    near = found.select("row_key", F.explode("near").alias("n")).select("row_key", "n.entity", "n.term", "n.s", "n.e")
-    # the strongest action wins where a term stands beside several entities
-    more = near.join(told, ["entity", "term"]).groupBy("row_key", "s", "e").agg(F.max("action").alias("action")).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("action", "s", "e"))).alias("more"))
+    near = found.select("row_key", F.explode("near").alias("n")).select("row_key", "n.entity", "n.term").distinct()
+    # the strongest action wins where a term stands beside several entities; it holds at every place of the term in the document
+    action = near.join(told, ["entity", "term"]).groupBy("row_key", "term").agg(F.max("action").alias("action"))
+    places = found.select("row_key", F.explode("places").alias("p")).select("row_key", "p.term", "p.s", "p.e")
+    more = places.join(action, ["row_key", "term"]).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("action", "s", "e"))).alias("more"))
     texts = F.transform(F.coalesce("more", F.expr("cast(array() as array<struct<action:string,s:bigint,e:bigint>>)")), lambda x: F.concat_ws(":", x["action"], x["s"].cast("string"), x["e"].cast("string")))
     base = F.when(F.col("base") == "", F.expr("cast(array() as array<string>)")).otherwise(F.array("base"))
     return found.join(more, "row_key", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.concat_ws(",", F.concat(base, texts)).alias("spans"))

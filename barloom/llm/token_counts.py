@@ -67,8 +67,8 @@ class PreTokens:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not self.foreign(text):
-            return self.cut_latin(text.lower())
+        if not self.foreign(text) and not self.foreign(low := text.lower()):  # some Latin capitals have their small letter elsewhere
+            return self.cut_latin(low)
         text = self.library.normalizer.normalize_str(text)
         if not self.foreign(text):
             return self.cut_latin(text)
@@ -83,6 +83,18 @@ class PreTokens:
         return len(self.model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(self.table)))
 
 
+#: The cutter of this worker process, by its vocabulary.
+_KEPT: dict[str, PreTokens] = {}
+
+
+def _pre_tokens(tokenizer: str) -> PreTokens:
+    """That of another vocabulary is dropped."""
+    if tokenizer not in _KEPT:
+        _KEPT.clear()
+        _KEPT[tokenizer] = PreTokens(tokenizer)
+    return _KEPT[tokenizer]
+
+
 def _pack(*parts: bytes) -> bytes:
     return zlib.compress(b"".join(len(x).to_bytes(4, "little") + x for x in parts), 1)
 
@@ -111,12 +123,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def shared() -> PreTokens:
-        import tokenizers
-
-        kept = tokenizers.__dict__.setdefault("_pre_tokens", {})
-        if held.value not in kept:
-            kept[held.value] = PreTokens(held.value)
-        return kept[held.value]
+        return _pre_tokens(held.value)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, pre = TaskContext.get().partitionId() << 32, shared()
