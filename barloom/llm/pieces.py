@@ -34,7 +34,10 @@ from barloom.llm.common import text_of
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MOST_WORDS = 130_000
+MOST_WORDS = 250_000
+#: Pairs of pieces whose standing together is kept, and the width above which a word is encoded by itself.
+MOST_PAIRS = 1_000_000
+LONG_WORD = 256
 SLICE_CHARS = 1_000_000
 MOST_CELLS = 150_000
 
@@ -68,9 +71,13 @@ class Viterbi:
         self.split = re.compile(f"{SPACE}+(?={SPACE}|$)|{SPACE}?[^{SPACE}{alone}]+|{SPACE}?[{alone}]" if alone else f"{SPACE}+(?={SPACE}|$)|{SPACE}?[^{SPACE}]+").findall
         self.pairs: dict[int, bool] = {}
         self.pair_keys, self.pair_good = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[int, tuple[int, ...]] = {}
+        prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.alive = np.zeros(1 << 20, bool)
+        self.alive[self._slot(np.array([self._hash(p) for p in prefixes], np.uint64))] = True
+        self.words, self.old = _Words(), _Words()
+        self.piece_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.piece_sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -84,9 +91,16 @@ class Viterbi:
         return np.uint64(h)
 
     def _alone(self, texts: list[str]) -> list[list[int]]:
-        """The library's ids of strings as they are, without its space before: a line feed joins with nothing."""
-        head = len(self.library.encode("\n"))
-        return [x[head:] for x in self.library.encode(["\n" + t.replace(SPACE, " ") for t in texts], num_threads=1)]
+        """The library's ids of strings as they are, without its space before: a line feed joins with nothing, so one call holds many."""
+        head, feed = self.library.encode("\n"), self.library.encode("\n\n")[-1:]
+        if self.library.encode("\na\na") != [*head, *self.library.encode("\na")[len(head) :], *feed, *self.library.encode("\na")[len(head) :]] or "\n" in "".join(texts):
+            return [x[len(head) :] for x in self.library.encode(["\n" + t.replace(SPACE, " ") for t in texts], num_threads=1)]
+        out: list[list[int]] = []
+        for k in range(0, len(texts), 1000):
+            ids = self.library.encode("\n" + "\n".join(texts[k : k + 1000]).replace(SPACE, " "))[len(head) :]
+            ends = [i for i, x in enumerate(ids) if x == feed[0]]
+            out += [ids[i:j] for i, j in zip([0, *[x + 1 for x in ends]], [*ends, len(ids)])]
+        return out
 
     def _may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b may stand after piece a; a may be the start of a word. Known pairs are read from a direct-mapped table."""
@@ -94,6 +108,8 @@ class Viterbi:
         slots = ((codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(43)).astype(np.int64)
         missed = np.unique(codes[self.pair_keys[slots] != codes])
         if len(missed):
+            if len(self.pairs) > MOST_PAIRS:
+                self.pairs.clear()
             new = [c for c in missed.tolist() if c not in self.pairs]
             if new:
                 split = [divmod(c, self.start + 1) for c in new]
@@ -113,25 +129,38 @@ class Viterbi:
         n = len(words)
         chars = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width).astype(np.uint64)
         chars[np.arange(width) >= np.array([len(w) for w in words])[:, None]] = 1 << 40
-        found: list[np.ndarray] = []
-        h = np.zeros((n, width + 1), np.uint64)
+        # substrings that begin as no piece does are not made longer
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        flat, at = chars.ravel(), np.arange(n * width)
+        h = np.zeros(n * width, np.uint64)
         for size in range(1, min(self.longest, width) + 1):
-            h = h[:, : width - size + 1] * BASE + chars[:, size - 1 :]
-            ids = np.full(h.shape, -1, np.int32)
-            at = np.nonzero(self.seen[self._slot(h)])
-            probe = h[at]
+            h = h * BASE + flat[at + size - 1]
+            slot = self._slot(h)
+            whole = np.nonzero(self.seen[slot])[0]
+            probe = h[whole]
             place = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-            ids[at] = np.where(self.keys[place] == probe, self.key_ids[place], -1)
-            found.append(np.ascontiguousarray(ids.T))
+            hit = self.keys[place] == probe
+            where, begin = np.divmod(at[whole[hit]], width)
+            order = np.argsort(begin, kind="stable")
+            found.append((where[order], self.key_ids[place[hit]][order], np.searchsorted(begin[order], np.arange(width + 1))))
+            more = np.nonzero(self.alive[slot] & (at % width + size < width))[0]
+            h, at = h[more], at[more]
+            if not len(at):
+                break
         last = np.full((width + 1, n), self.start, np.int64)
         back = np.ones((width + 1, n), np.int64)
         for end in range(1, width + 1):
             best, piece = np.zeros(n, np.int64), np.full(n, self.unknown, np.int64)
-            for size in range(min(self.longest, end), 0, -1):
-                ids = found[size - 1][end - size]
-                rows = np.nonzero((ids >= 0) & (best == 0))[0]
+            for size in range(min(len(found), end), 0, -1):
+                rows, ids, edges = found[size - 1]
+                lo, hi = edges[end - size], edges[end - size + 1]
+                if lo == hi:
+                    continue
+                rows, ids = rows[lo:hi], ids[lo:hi]
+                free = best[rows] == 0
+                rows, ids = rows[free], ids[free]
                 if len(rows):
-                    before, ids = last[end - size][rows], ids[rows]
+                    before = last[end - size][rows]
                     # after a character of no piece, a piece stands as at the start of a word
                     ok = self._may_follow(np.where(before == self.unknown, self.start, before), ids)
                     best[rows[ok]], piece[rows[ok]] = size, ids[ok]
@@ -164,74 +193,149 @@ class Viterbi:
                 at += len(self.pieces[i])
         return tuple(got)
 
+    def _long(self, word: str) -> tuple[int, ...]:
+        """One word too long for a batch, by the same rule position by position."""
+        last, back = [self.start], [0]
+        for end in range(1, len(word) + 1):
+            piece, took = self.unknown, 1
+            for size in range(min(self.longest, end), 0, -1):
+                i = self.ids.get(word[end - size : end])
+                if i is not None:
+                    before = self.start if last[end - size] == self.unknown else last[end - size]
+                    code = before * (self.start + 1) + i
+                    good = self.pairs.get(code)
+                    if good if good is not None else self._may_follow(np.array([before]), np.array([i]))[0]:
+                        piece, took = i, size
+                        break
+            last.append(piece)
+            back.append(took)
+        got, at = [], len(word)
+        while at:
+            got.append(last[at])
+            at -= back[at]
+        return self._bytes_for(word, got[::-1])
+
     def _learn(self, words: set[str]) -> None:
         by: dict[int, list[str]] = {}
         for w in words:
             n = len(w)
             by.setdefault(n if n <= 8 else -(-n // 4) * 4 if n <= 32 else -(-n // 32) * 32, []).append(w)
         for width, same in by.items():
+            if width > LONG_WORD:
+                self.words.add(same, [self._long(w) for w in same])
+                continue
             step = max(1, MOST_CELLS // width)
             for k in range(0, len(same), step):
                 part = same[k : k + step]
-                self.words.update(zip(part, self._equal_width(part, width)))
-
-    def _run(self, n: int) -> tuple[int, ...]:
-        """Ids of n spaces."""
-        if n not in self.runs:
-            self.runs[n] = tuple(self._alone([SPACE * n])[0])
-        return self.runs[n]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+                self.words.add(part, self._equal_width(part, width))
+
+    def _know(self, words: list[str]) -> None:
+        """Every word is in the current table; words in use move on to a new one when it is full, the others go with the old one."""
+        distinct = set(words)
+        if len(self.words.index) + len(distinct) > MOST_WORDS:
+            self.old, self.words = self.words, _Words()
+        new = distinct.difference(self.words.index)
+        again = [w for w in new if w in self.old.index]
+        self.words.add(again, [self.old.ids(w) for w in again])
+        new.difference_update(again)
+        runs = [w for w in new if not w.strip(SPACE)]
+        self.words.add(runs, [tuple(x) for x in self._alone(runs)])
+        self._learn(new.difference(runs))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each end."""
         cut = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        distinct = set(chain.from_iterable(cut))
-        if len(self.words) + len(distinct) > MOST_WORDS:  # words in use move on to the new table, the others go with the old one
-            self.old, self.words = self.words, {}
-        new = distinct.difference(self.words)
-        again = new.intersection(self.old)
-        self.words.update((w, self.old[w]) for w in again)
-        new -= again
-        spaces = {w for w in new if not w.strip(SPACE)}
-        self._learn(new - spaces)
-        self.words.update((w, self._run(len(w))) for w in spaces)
+        words = list(chain.from_iterable(cut))
+        ends = np.cumsum(np.array([len(x) for x in cut], np.int64))
+        del cut
+        self._know(words)
+        rows = np.fromiter(map(self.words.index.__getitem__, words), np.int64, len(words))
+        starts, sizes, flat = self.words.spans()
+        begin, size = starts[rows], sizes[rows]
         lone = self.ids.get(SPACE)
-        table, out = self.words, []
-        for t, words in zip(texts, cut):
-            if "  " in t or t[:1] == " " or t[-1:] == " ":  # the last space of a run belongs to its word unless it stays alone there
-                ids: list[int] = []
-                run = 0
-                for w in words:
-                    if not w.strip(SPACE):
-                        run = len(w)
-                        continue
-                    got = table[w]
-                    if run and got[0] == lone and w[0] == SPACE:
-                        ids += self._run(run + 1)
-                        got = got[1:]
-                    elif run:
-                        ids += self._run(run)
-                    run = 0
-                    ids += got
-                if run:
-                    ids += self._run(run)
-                out.append(ids)
-            else:
-                out.append(list(chain.from_iterable(map(table.__getitem__, words))))
-        return out
+        if lone is not None and len(rows):
+            # the last space of a run belongs to its word unless it stays alone there: then it belongs to the run
+            joins = np.nonzero(flat[begin] == lone)[0]
+            joins = joins[(joins > 0) & ~np.isin(joins, ends)]
+            joined = [j for j in joins.tolist() if not words[j - 1].strip(SPACE) and words[j].strip(SPACE)]
+            if joined:
+                longer = [words[j - 1] + SPACE for j in joined]
+                kept = self.words
+                self._know([*longer, *words])
+                if self.words is not kept:  # the tables turned: read all rows again
+                    rows = np.fromiter(map(self.words.index.__getitem__, words), np.int64, len(words))
+                at = np.array(joined)
+                rows[at - 1] = [self.words.index[w] for w in longer]
+                starts, sizes, flat = self.words.spans()
+                begin, size = starts[rows], sizes[rows]
+                begin[at] += 1
+                size[at] -= 1
+        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        return _gathered(flat, begin, size), sums[ends]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, ends = self.encode_flat(texts)
+        ends = ends.tolist()
+        return [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of runs of ids."""
+        size = self.piece_sizes[ids]
+        raw = _gathered(self.piece_bytes, self.piece_starts[ids], size).tobytes()
+        to = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])[ends].tolist()
+        out = [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *to[:-1]], to)]
+        return [x[1:] if x[:1] == " " else x for x in out]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.decode_flat(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
-def shared(model: bytes) -> Viterbi:
-    """The coder of this worker process: it keeps its words from task to task."""
-    import sentencepiece
+class _Words:
+    """Words and their ids, packed in one growing array."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.starts, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
+
+    def add(self, words: list[str], ids: list) -> None:
+        n = len(self.index)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        total = int(sizes.sum())
+        while n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.starts[n + 1 : n + len(words) + 1] = self.used + np.cumsum(sizes)
+        self.used += total
+        self.index.update(zip(words, range(n, n + len(words))))
+
+    def ids(self, word: str) -> list[int]:
+        k = self.index[word]
+        return self.flat[self.starts[k] : self.starts[k + 1]].tolist()
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.index)
+        return self.starts[:n], np.diff(self.starts[: n + 1]), self.flat
+
 
-    held = sentencepiece.__dict__.setdefault("_coders", {})
+def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans flat[begin : begin + size], one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + size, size)]
+
+
+#: The coder of this worker process, by the digest of its model: it keeps its words from task to task.
+_CODERS: dict[str, Viterbi] = {}
+
+
+def shared(model: bytes) -> Viterbi:
+    """The coder of this worker process; that of another model is dropped."""
     key = hashlib.sha256(model).hexdigest()
-    if key not in held:
-        held[key] = Viterbi(model)
-    return held[key]
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Viterbi(model)
+    return _CODERS[key]
 
 
 def slices(batch: pa.RecordBatch, column: str, most_chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -265,10 +369,11 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 coder = coder or shared(held.value)
-                ids = coder.encode(texts)
-                back = [coder.decode(x) for x in ids]
+                ids, ends = coder.encode_flat(texts)
+                back = coder.decode_flat(ids, ends)
+                offsets = np.concatenate([np.zeros(1, np.int64), ends])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back]), pa.array([a == b for a, b in zip(back, texts)], pa.bool_())],
+                    [part.column("doc_id"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in back]), pa.array([a == b for a, b in zip(back, texts)], pa.bool_())],
                     names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"],
                 )
 
