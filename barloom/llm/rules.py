@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import text_of, without_white, words_of
+from barloom.llm.common import text_of, words_of
 
 BUCKETS = 10_000
 #: n-grams of the raw distribution that are added to the target.
@@ -27,18 +27,22 @@ PRIOR = 300_000.0
 #: Mean log-likelihood ratio per n-gram below which a document is rejected.
 THRESHOLD = -0.05
 BROADCAST_IDS = 1_000_000
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 
 
-def _buckets(words: str, buckets: int) -> Column:
-    """Bucket of each word and of each pair of adjacent words."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.pmod(F.xxhash64(F.get(words, i - 1), F.get(words, i)), F.lit(buckets)).cast("int"))
-    return F.when(F.size(words) > 1, F.concat(one, two)).otherwise(one)
+def _with_pairs(df: DataFrame, hashes: str, tail: str, pairs: str) -> DataFrame:
+    """Adds pairs, one hash of each two adjacent entries; tail is used twice, so that it is not built inside the lambda."""
+    df = df.withColumn(tail, F.slice(hashes, 2, F.size(hashes)))
+    return df.withColumn(pairs, F.slice(F.zip_with(hashes, tail, lambda a, b: F.xxhash64(a, b)), 1, F.size(tail)))
 
 
-def _lowered(text: Column) -> Column:
-    return words_of(F.lower(text))
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
+
+
+def _lowered(words: Column) -> Column:
+    """Hashes of the words in lower case."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
 def model(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
@@ -46,7 +50,8 @@ def model(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
     few = trusted_ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = trusted_ids.distinct()
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids) if few else ids, F.col("_id") == F.col("_trusted"), "left")
-    grams = marked.select(F.col("_trusted").isNotNull().cast("long").alias("good"), _lowered(text_of("_text")).alias("words")).select("good", F.explode(_buckets("words", buckets)).alias("bucket"))
+    grams = marked.select(F.col("_trusted").isNotNull().cast("long").alias("good"), _lowered(words_of(text_of("_text"))).alias("hashes"))
+    grams = _with_pairs(grams, "hashes", "tail", "pairs").select("good", F.explode(F.concat("hashes", "pairs")).alias("gram")).select("good", _bucket(F.col("gram"), buckets).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").na.fill(0)
@@ -57,16 +62,19 @@ def model(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_ (the whole row), text_, words and the base counts of every row."""
-    text, words = text_of(text_col), F.col("words")
-    plain = without_white(F.col("text_"))
-    lines = F.filter(F.split("text_", "\n"), lambda x: F.length(without_white(x)) > 0)
+    """doc_id, row_ (the whole row), lowered (hashes of the words in lower case) and the base counts of every row."""
+    text = text_of(text_col)
+    lines = F.filter(F.split("text_", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     start = docs.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row_"), text.alias("text_")).select(
-        "doc_id", "row_", "text_", words_of(F.col("text_")).alias("words"), F.length(plain).cast("long").alias("word_chars"),
-        (F.length("text_") - F.length(F.translate("text_", SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("lines"),
+        "doc_id", "row_", "text_", words_of(F.col("text_")).alias("words"), F.regexp_count("text_", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"),
+    )
+    hashed = start.select(
+        "doc_id", "row_", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", F.size("words").cast("long").alias("n_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), _lowered(F.col("words")).alias("lowered"),
     )
-    windows = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    keyed = start.select("doc_id", "row_", "text_", "words", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("keys"))
+    # the hash of two words with that of the third
+    paired = _with_pairs(hashed, "hashes", "tail", "pairs").withColumn("third", F.slice("hashes", 3, F.size("hashes")))
+    keyed = paired.withColumn("keys", F.slice(F.zip_with("pairs", "third", lambda a, b: F.xxhash64(a, b)), 1, F.size("third"))).drop("hashes", "tail", "pairs", "third")
     # only texts with a repeated window are sorted; equal windows then lie side by side
     repeats = F.when(F.size(F.array_distinct("keys")) < F.size("keys"), F.sort_array(F.transform("keys", lambda k, i: F.struct(k.alias("k"), i.alias("i")))))
     ordered = keyed.withColumn("ordered", repeats).drop("keys")
@@ -78,15 +86,19 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text_col: str, buckets: int, threshold: float) -> DataFrame:
-    weights = model(docs, trusted_ids, id_col, text_col, buckets).scalar()
-    held = counts(docs, id_col, text_col).withColumn("lowered", _lowered(F.col("text_"))).withColumn("weights", weights)
-    hashed = held.withColumn("grams", _buckets("lowered", buckets)).drop("lowered", "text_", "words").withColumn("number_", F.monotonically_increasing_id())
-    score = F.when(F.size("grams") > 0, F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get("weights", b)) / F.size("grams"))
+    # one array of a fixed length, as a constant of the plan
+    weights = F.split(F.lit(",".join(map(repr, model(docs, trusted_ids, id_col, text_col, buckets).first()["weights"]))), ",").cast("array<double>")
+    hashed = _with_pairs(counts(docs, id_col, text_col), "lowered", "lowered_tail", "lowered_pairs")
+    total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, h: a + F.get(weights, _bucket(h, buckets)))
+    mean = F.when(F.size("lowered") > 0, (total("lowered") + total("lowered_pairs")) / (F.size("lowered") + F.size("lowered_pairs")))
+    # used twice below, so computed once before
+    scored = hashed.withColumn("score", mean).withColumn("number_", F.monotonically_increasing_id())
+    score = F.col("score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & F.coalesce(score >= threshold, F.lit(False))
-    told = F.struct("row_", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), score.alias("score"), kept.alias("kept"))
+    told = F.struct("row_", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", kept.alias("kept"))
     # every result hangs on the row number: no filter on one is pushed below the arrays, where it would build them anew for each element
-    return hashed.select(F.when(F.col("number_") >= 0, told).alias("told_")).select("told_.*")
+    return scored.select(F.when(F.col("number_") >= 0, told).alias("told_")).select("told_.*")
 
 
 def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
