@@ -2,7 +2,7 @@
 
 Notation. Columns O H L C V VW AMT RET CAP BMC BMO; E is 1e-10. Cross-section (per
 date): RANK SCALE INDNEUT. Row windows (per code, by date): DELAY DELTA SUM MEAN STD
-TSMIN TSMAX CORR COV ADV COUNT SUMIF CUMSUM. Array windows: ARGMIN ARGMAX TSRANK PROD
+TSMIN TSMAX CORR COV ADV COUNT SUMIF CUMSUM CUMPROD REGBETA(y, x, n[, least]). Array windows: ARGMIN ARGMAX TSRANK PROD
 DECAY WMA HIGHDAY LOWDAY SLOPE. Recursive: EMA(x, n, m). Element-wise: SIGN ABS LOG
 SPOW MAX2 MIN2 NUM IF, arithmetic with ^, comparisons, AND OR NOT. `WITH a=...; b=...`
 names shared parts.
@@ -17,7 +17,7 @@ import re
 Node = tuple
 
 CROSS = {"RANK", "SCALE", "INDNEUT"}
-ROLLING = {"DELAY", "SUM", "MEAN", "STD", "TSMIN", "TSMAX", "COUNT", "SUMIF", "CUMSUM", "CORR", "COV"}
+ROLLING = {"DELAY", "SUM", "MEAN", "STD", "TSMIN", "TSMAX", "COUNT", "SUMIF", "CUMSUM", "CUMPROD", "CORR", "COV", "REGBETA"}
 ARRAY = {"ARGMIN", "ARGMAX", "TSRANK", "PROD", "DECAY", "WMA", "HIGHDAY", "LOWDAY", "SLOPE"}
 RECURSIVE = {"EMA"}
 WINDOWED = CROSS | ROLLING | ARRAY | RECURSIVE

@@ -51,7 +51,7 @@ class Renderer:
         if kind == "SPOW":
             return f"(sign({a}) * pow(abs({a}), {rest[0]}))"
         if kind == "SIGN":
-            return f"CAST(sign({a}) AS DOUBLE)"
+            return f"CAST(sign({self.steady(args[0])}) AS DOUBLE)"
         if kind == "ABS":
             return f"abs({a})"
         if kind == "LOG":
@@ -61,11 +61,20 @@ class Renderer:
             return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {'greatest' if kind == 'MAX2' else 'least'}({a}, {b}) END"
         raise ValueError(kind)
 
+    def steady(self, node: Node) -> str:
+        """The value without the last bits of a sum, for ranks, signs and comparisons: ten digits after the point, and those of a single.
+
+        Differences that are zero but for rounding become zero, so that their order
+        does not hang on the order of summation. Columns and constants stay as they are.
+        """
+        x = self.value(node)
+        return x if node[0] in ("col", "num") else f"CAST(round({x}, 10) AS FLOAT)"
+
     def truth(self, node: Node) -> str:
         """A condition; a comparison with null is false."""
         kind, args = node[0], node[1:]
         if kind in _COMPARE:
-            return f"coalesce({self.value(args[0])} {_COMPARE[kind]} {self.value(args[1])}, false)"
+            return f"coalesce({self.steady(args[0])} {_COMPARE[kind]} {self.steady(args[1])}, false)"
         if kind == "not":
             return f"(NOT {self.truth(args[0])})"
         if kind in ("and", "or"):
@@ -92,6 +101,7 @@ class Renderer:
             return f"sum({masked}) OVER {self._frame(_integer(args[1]))}"
         x = self.value(args[0])
         if kind == "RANK":
+            x = self.steady(args[0])
             ties = f"count({x}) OVER (PARTITION BY date, {x})"
             return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + ({ties} - 1) / CAST(2 AS DOUBLE)) / count({x}) OVER {day} END"
         if kind == "SCALE":
@@ -113,8 +123,22 @@ class Renderer:
             cov = f"({mean(f'({x} * {y})')} - ({mean(x)}) * ({mean(y)}))"
             if kind == "COV":
                 return cov
+            # what is left of the product mean by rounding is no correlation
+            cov = f"CASE WHEN abs{cov} > CAST(1e-12 AS DOUBLE) * ({mean(f'abs({x} * {y})')}) THEN {cov} WHEN {cov} IS NOT NULL THEN CAST(0 AS DOUBLE) END"
             std = lambda e: self._held("stddev_samp", e, d, max(2, d // 2))
-            return f"{cov} / nullif(({std(x)}) * ({std(y)}), CAST(0 AS DOUBLE))"
+            flat = lambda e: f"CASE WHEN ({std(e)}) > CAST(1e-12 AS DOUBLE) * ({mean(f'abs({e})')}) THEN {std(e)} END"
+            return f"({cov}) / (({flat(x)}) * ({flat(y)}))"
+        if kind == "REGBETA":
+            y, d = self.value(args[1]), _integer(args[2])
+            least = _integer(args[3]) if len(args) > 3 else d
+            both, w = f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN", self._frame(d)
+            a, b = f"{both} {x} END", f"{both} {y} END"
+            # a slope on a series that hardly varies is no slope
+            return f"CASE WHEN count({a}) OVER {w} >= {least} AND var_pop({b}) OVER {w} > CAST(1e-20 AS DOUBLE) THEN covar_pop({a}, {b}) OVER {w} / var_pop({b}) OVER {w} END"
+        if kind == "CUMPROD":
+            return f"exp(sum(CASE WHEN {x} > 0 THEN ln({x}) END) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+        if kind in ("ARGMIN", "ARGMAX", "TSRANK"):
+            x = self.steady(args[0])
         if kind in ("ARGMIN", "ARGMAX", "TSRANK", "PROD", "DECAY", "WMA", "HIGHDAY", "LOWDAY", "SLOPE"):
             d = _integer(args[1])
             least = d if kind == "SLOPE" else max(1, d // 2)

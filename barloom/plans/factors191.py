@@ -1,7 +1,7 @@
 """The 191 published short-horizon alphas, in the notation of barloom.functions.algebra.
 
-Factor 30 needs three style series and is not part of the set; 143 (recursive product)
-and 149 (down-market beta) are in barloom.operators.recursive."""
+Factor 30 is the form without style series; with them, barloom.operators.regression
+gives the residuals."""
 
 #: Formula text by factor number. E stands for 1e-10.
 FORMULAS = {
@@ -34,6 +34,7 @@ FORMULAS = {
     27: "WMA((C-DELAY(C,3))/(DELAY(C,3)+E)*100+(C-DELAY(C,6))/(DELAY(C,6)+E)*100,12)",
     28: "3*a-2*EMA(a,3,1)  WITH a=EMA((C-TSMIN(L,9))/(TSMAX(H,9)-TSMIN(L,9)+E)*100,3,1)",
     29: "(C-DELAY(C,6))/(DELAY(C,6)+E)*V",
+    30: "WMA((C/DELAY(C,1)-1)^2,20)",
     31: "(C-MEAN(C,12))/(MEAN(C,12)+E)*100",
     32: "-SUM(RANK(CORR(RANK(H),RANK(V),3)),3)",
     33: "(-TSMIN(L,5)+DELAY(TSMIN(L,5),5))*RANK((SUM(RET,240)-SUM(RET,20))/220)*TSRANK(V,5)",
@@ -146,11 +147,13 @@ FORMULAS = {
     140: "MIN2(RANK(DECAY(RANK(O)+RANK(L)-RANK(H)-RANK(C),8)),TSRANK(DECAY(CORR(TSRANK(C,8),TSRANK(MEAN(V,60),20),8),7),3))",
     141: "-RANK(CORR(RANK(H),RANK(MEAN(V,15)),9))",
     142: "-RANK(TSRANK(C,10))*RANK(DELTA(DELTA(C,1),1))*RANK(TSRANK(V/(MEAN(V,20)+E),5))",
+    143: "CUMPROD(IF(C>DELAY(C,1),(C-DELAY(C,1))/(DELAY(C,1)+E),1))",
     144: "SUMIF(ABS(C/(DELAY(C,1)+E)-1)/(AMT+E),20,a)/(COUNT(a,20)+E)  WITH a=C<DELAY(C,1)",
     145: "(MEAN(V,9)-MEAN(V,26))/(MEAN(V,12)+E)*100",
     146: "MEAN(b,20)*b/(MEAN((b-b)^2,60)+E)  WITH a=(C-DELAY(C,1))/(DELAY(C,1)+E); b=a-EMA(a,61,2)",
     147: "SLOPE(MEAN(C,12),12)",
     148: "-IF(RANK(CORR(O,SUM(MEAN(V,60),9),6))<RANK(O-TSMIN(O,14)),1,0)",
+    149: "REGBETA(IF(BMC<DELAY(BMC,1),C/DELAY(C,1)-1,0/0),IF(BMC<DELAY(BMC,1),BMC/DELAY(BMC,1)-1,0/0),252,10)",
     150: "(C+H+L)/3*V",
     151: "EMA(C-DELAY(C,20),20,1)",
     152: "EMA(MEAN(DELAY(a,1),12)-MEAN(DELAY(a,1),26),9,1)  WITH a=EMA(DELAY(C/(DELAY(C,9)+E),1),9,1)",

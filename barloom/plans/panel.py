@@ -45,7 +45,7 @@ _FACTORS = f"""fac AS (
   FROM {{bars}}
 )"""
 _IC = f"""{_FACTORS}, pairs AS (SELECT date, f, r FROM fac WHERE f IS NOT NULL AND r IS NOT NULL), ranked AS (SELECT date, {_rank('f')} AS x, {_rank('r')} AS y FROM pairs),
-ic AS (SELECT date, corr(x, y) AS ic FROM ranked GROUP BY date HAVING count(*) >= 5)"""
+ic AS (SELECT date, round(corr(x, y), 12) AS ic FROM ranked GROUP BY date HAVING count(*) >= 5)"""
 _EQUITY = "equity AS (SELECT date, max(bm_close) AS v, max(bm_open) AS b FROM {bars} GROUP BY date)"
 _RETURNS = f"{_EQUITY}, ret AS (SELECT date, v, v / lag(v) OVER (ORDER BY date) - 1 AS r, b / lag(b) OVER (ORDER BY date) - 1 AS q, max(v) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM equity)"
 #: Odd orders buy, even ones sell; the k-th buy of a customer meets the k-th sale.
@@ -93,7 +93,7 @@ _TEXTS: dict[str, tuple[str, dict[str, int]]] = {
     "eval_quantile_returns": (f"WITH {_FACTORS}, p AS (SELECT date, f, r FROM fac WHERE f IS NOT NULL AND r IS NOT NULL), q AS (SELECT date, {', '.join(f'@pct(f, 0.{2 * k}) AS q{k}' for k in (1, 2, 3, 4))} FROM p GROUP BY date), g AS (SELECT p.date, r, 1 + {' + '.join(f'CASE WHEN f > q{k} THEN 1 ELSE 0 END' for k in (1, 2, 3, 4))} AS bucket FROM p JOIN q ON q.date = p.date) SELECT date, bucket, avg(r) AS mean_return, count(*) AS n FROM g GROUP BY date, bucket", {"mean_return": 6}),
     "eval_neutralize": (f"WITH {_FACTORS}, p AS (SELECT date, code, industry, f, ln(cap) AS c FROM fac WHERE f IS NOT NULL AND cap > 0), m AS (SELECT date, code, f, f - avg(f) OVER (PARTITION BY date, industry) AS x, c - avg(c) OVER (PARTITION BY date, industry) AS z FROM p) SELECT date, code, CASE WHEN count(*) OVER (PARTITION BY date) < 10 THEN f ELSE x - coalesce(sum(x * z) OVER (PARTITION BY date) / nullif(sum(z * z) OVER (PARTITION BY date), CAST(0 AS DOUBLE)), 0) * z END AS residual FROM m", {"residual": 6}),
     "eval_combine_equal": (f"WITH {_FACTORS}, z AS (SELECT date, code, {', '.join(f'({x} - avg({x}) OVER (PARTITION BY date)) / nullif(stddev_samp({x}) OVER (PARTITION BY date), CAST(0 AS DOUBLE)) AS z{x}' for x in 'fgh')} FROM fac) SELECT date, code, (coalesce(zf, 0) + coalesce(zg, 0) + coalesce(zh, 0)) / nullif(CAST({' + '.join(f'CASE WHEN z{x} IS NULL THEN 0 ELSE 1 END' for x in 'fgh')} AS DOUBLE), CAST(0 AS DOUBLE)) AS combined FROM z", {"combined": 6}),
-    "eval_correlation": (f"WITH {_FACTORS}, s AS (SELECT date, {', '.join(f'CASE WHEN count({x} + r) >= 10 THEN regr_slope(r, {x}) * stddev_pop(CASE WHEN r IS NOT NULL THEN {x} END) END AS {x}' for x in 'fgh')} FROM fac GROUP BY date) SELECT corr(f, g) AS f_g, corr(f, h) AS f_h, corr(g, h) AS g_h FROM s", dict.fromkeys(("f_g", "f_h", "g_h"), 6)),
+    "eval_correlation": (f"WITH {_FACTORS}, s AS (SELECT date, {', '.join(f'CASE WHEN count({x} + r) >= 10 AND stddev_pop(CASE WHEN r IS NOT NULL THEN {x} END) > 1e-12 THEN regr_slope(r, {x}) * stddev_pop(CASE WHEN r IS NOT NULL THEN {x} END) END AS {x}' for x in 'fgh')} FROM fac GROUP BY date) SELECT corr(f, g) AS f_g, corr(f, h) AS f_h, corr(g, h) AS g_h FROM s", dict.fromkeys(("f_g", "f_h", "g_h"), 6)),
     "eval_coverage": (f"WITH {_FACTORS}, d AS (SELECT date, count(f) AS nf, count(g) AS ng, count(h) AS nh FROM fac GROUP BY date) SELECT {', '.join(f'avg(CASE WHEN n{x} > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS {x}' for x in 'fgh')} FROM d", dict.fromkeys("fgh", 6)),
     "strategy_top_k": (f"WITH {_FACTORS}, o AS (SELECT date, code, f, row_number() OVER (PARTITION BY date ORDER BY f DESC, code) AS place FROM fac WHERE f IS NOT NULL) SELECT date, code, place, 1 / CAST(least(10, count(*) OVER (PARTITION BY date)) AS DOUBLE) AS weight FROM o WHERE place <= 10", {"weight": 6}),
     # performance and risk

@@ -53,6 +53,11 @@ def cleaned(expression: str, dialect: str) -> str:
     return f"CASE WHEN abs({expression}) < CAST('Infinity' AS DOUBLE) THEN {expression} END"
 
 
+def shown(v: str) -> str:
+    """A result for comparison: fewer digits for larger values, and exact halves moved off the edge between two roundings."""
+    return f"CASE WHEN abs({v}) < 1e4 THEN round({v} + CAST(2.5e-9 AS DOUBLE), 6) WHEN abs({v}) < 1e9 THEN round({v} + CAST(2.5e-4 AS DOUBLE), 1) WHEN abs({v}) < 1e15 THEN round({v} + 250, -5) ELSE {v} END + CAST(0 AS DOUBLE)"
+
+
 def compute(bars: DataFrame, formulas: dict[str, str]) -> DataFrame:
     """date, code and one column for each formula."""
     trees = {k: parse(f) for k, f in formulas.items()}
@@ -69,7 +74,7 @@ def compute(bars: DataFrame, formulas: dict[str, str]) -> DataFrame:
     return out.selectExpr(*KEYS, *[f"{cleaned(k, SPARK)} AS {k}" for k in formulas])
 
 
-def duck_sql(bars_sql: str, formulas: dict[str, str], digits: int | None = None) -> str:
+def duck_sql(bars_sql: str, formulas: dict[str, str], rounded: bool = False) -> str:
     """The same factors as DuckDB SQL; recursive ones have none."""
     trees = {k: parse(f) for k, f in formulas.items()}
     names, by = _layers(list(trees.values()))
@@ -84,5 +89,5 @@ def duck_sql(bars_sql: str, formulas: dict[str, str], digits: int | None = None)
                 steps.append(f"{step} AS MATERIALIZED (SELECT *, {', '.join(f'{Renderer(DUCK, names).window(n)} AS {names[n]}' for n in nodes)} FROM {last})")
                 last = step
     steps.append(f"f AS (SELECT {', '.join(KEYS)}, {', '.join(f'CAST({Renderer(DUCK, names).value(t)} AS DOUBLE) AS {k}' for k, t in trees.items())} FROM {last})")
-    shown = [f"round({cleaned(k, DUCK)}, {digits}) AS {k}" if digits else f"{cleaned(k, DUCK)} AS {k}" for k in formulas]
-    return f"WITH {', '.join(steps)} SELECT {', '.join(KEYS)}, {', '.join(shown)} FROM f"
+    out = f"SELECT {', '.join(KEYS)}, {', '.join(f'{cleaned(k, DUCK)} AS {k}' for k in formulas)} FROM f"
+    return f"WITH {', '.join(steps)} " + (f"SELECT {', '.join(KEYS)}, {', '.join(f'{shown(k)} AS {k}' for k in formulas)} FROM ({out}) r" if rounded else out)
