@@ -47,6 +47,11 @@ def long(df: DataFrame, factors: list[str], keep: list[str]) -> DataFrame:
 
 
 
+def _corr(x: str, y: str) -> Column:
+    """corr() of complete pairs that is null, not an error, without variance."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def ic_series(pairs: DataFrame, method: str = "spearman", least: int = 5) -> DataFrame:
     """factor, date, ic of rows factor, date, value, r: correlation by date over complete pairs, dates with fewer than `least` left out."""
     if method not in ("spearman", "pearson"):
@@ -56,8 +61,8 @@ def ic_series(pairs: DataFrame, method: str = "spearman", least: int = 5) -> Dat
         day = Window.partitionBy("factor", "date")
         ties = lambda c: (F.count(F.lit(1)).over(Window.partitionBy("factor", "date", c)) - 1) / 2.0
         full = full.select("factor", "date", (F.rank().over(day.orderBy("value")) + ties("value")).alias("value"), (F.rank().over(day.orderBy("r")) + ties("r")).alias("r"))
-    flat = (F.stddev_pop("value") > 1e-12) & (F.stddev_pop("r") > 1e-12)
-    return full.groupBy("factor", "date").agg(F.when(flat, F.round(F.corr("value", "r"), 12)).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n").where("ic IS NOT NULL")
+    varied = (F.stddev_pop("value") > 1e-12) & (F.stddev_pop("r") > 1e-12)
+    return full.groupBy("factor", "date").agg(F.when(varied, F.round(_corr("value", "r"), 12)).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n").where("ic IS NOT NULL")
 
 
 def factor_returns(pairs: DataFrame, least: int = 10) -> DataFrame:
@@ -147,7 +152,7 @@ def cell_coverage(bars: DataFrame, factors: list[str], least: float = 0.3) -> Da
 def correlation(returns: DataFrame) -> DataFrame:
     """a, b, corr: correlation of the factor returns of each pair over the dates that both have."""
     a, b = returns.select("date", F.col("factor").alias("a"), F.col("fr").alias("x")), returns.select("date", F.col("factor").alias("b"), F.col("fr").alias("y"))
-    return a.join(b, "date").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+    return a.join(b, "date").groupBy("a", "b").agg(_corr("x", "y").alias("corr"))
 
 
 def redundant_pairs(pairs: DataFrame, above: float = 0.7) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.algebra import parse, windows
-from barloom.plans import factors101, factors191, panel, smoothed
+from barloom.plans import factors101, factors191, panel, smoothed, studies
 from barloom.plans.planner import KEYS, compute, duck_sql, shown
 from barloom.sources.bars import DUCK_BARS, weekly_bars
 
@@ -49,8 +49,17 @@ def all_factors(formulas: dict[int, str]) -> Query:
     return run
 
 
+#: Factors computed together in one plan by the queries alpha101_together and alpha191_together.
+TOGETHER = {"alpha101_together": {k: factors101.FORMULAS[k] for k in (3, 6, 12, 33, 41, 101)}, "alpha191_together": {k: factors191.FORMULAS[k] for k in (2, 6, 14, 18, 20, 30)}}
+
+
+def _together_sql(formulas: dict[int, str]) -> str:
+    named = {f"alpha{k:03d}": f for k, f in formulas.items()}
+    return f"SELECT * FROM ({duck_sql(DUCK_BARS, named, True)}) UNPIVOT INCLUDE NULLS (value FOR factor IN ({', '.join(named)}))"
+
+
 def queries() -> dict[str, Query]:
-    return {"bars_weekly": weekly_bars} | {k: _factor(f) for k, f in FORMULAS.items()} | panel.queries() | smoothed.queries()
+    return {"bars_weekly": weekly_bars} | {k: all_factors(f) for k, f in TOGETHER.items()} | {k: _factor(f) for k, f in FORMULAS.items()} | panel.queries() | smoothed.queries() | studies.queries()
 
 
 def recursive(formula: str) -> bool:
@@ -58,4 +67,4 @@ def recursive(formula: str) -> bool:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"bars_weekly": DUCK_BARS} | {k: duck_sql(DUCK_BARS, {"value": f}, True) for k, f in FORMULAS.items() if k not in NOISY and not recursive(f)} | panel.oracle_sql()
+    return {"bars_weekly": DUCK_BARS} | {k: _together_sql(f) for k, f in TOGETHER.items()} | {k: duck_sql(DUCK_BARS, {"value": f}, True) for k, f in FORMULAS.items() if k not in NOISY and not recursive(f)} | panel.oracle_sql() | studies.oracle_sql()

@@ -45,7 +45,7 @@ _FACTORS = f"""fac AS (
   FROM {{bars}}
 )"""
 _IC = f"""{_FACTORS}, pairs AS (SELECT date, f, r FROM fac WHERE f IS NOT NULL AND r IS NOT NULL), ranked AS (SELECT date, {_rank('f')} AS x, {_rank('r')} AS y FROM pairs),
-ic AS (SELECT date, round(corr(x, y), 12) AS ic FROM ranked GROUP BY date HAVING count(*) >= 5)"""
+ic AS (SELECT date, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), CAST(0 AS DOUBLE)), 12) AS ic FROM ranked GROUP BY date HAVING count(*) >= 5)"""
 _EQUITY = "equity AS (SELECT date, max(bm_close) AS v, max(bm_open) AS b FROM {bars} GROUP BY date)"
 _RETURNS = f"{_EQUITY}, ret AS (SELECT date, v, v / lag(v) OVER (ORDER BY date) - 1 AS r, b / lag(b) OVER (ORDER BY date) - 1 AS q, max(v) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM equity)"
 #: Odd orders buy, even ones sell; the k-th buy of a customer meets the k-th sale.
