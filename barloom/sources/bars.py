@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Both engines read this text; {pick} is the engine's way to the first and last price.
+#: Both engines read this text; {hint} is empty for DuckDB.
 _BARS = """
 WITH l AS (
   SELECT l_suppkey AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice / l_quantity AS price, l_quantity AS quantity, l_extendedprice AS extended,
@@ -25,7 +25,7 @@ WITH l AS (
 ), grid AS (
   SELECT code, {explode} AS date FROM (SELECT DISTINCT code FROM b) c
 ), d AS (
-  SELECT grid.date, grid.code, open, high, low, close, volume, amount, amount / volume AS vwap, s_acctbal AS cap, s_nationkey AS industry
+  SELECT {hint}grid.date, grid.code, open, high, low, close, volume, amount, amount / volume AS vwap, s_acctbal AS cap, s_nationkey AS industry
   FROM grid LEFT JOIN b ON b.code = grid.code AND b.date = grid.date LEFT JOIN {supplier} ON s_suppkey = grid.code
 ), m AS (
   SELECT date, avg(close) AS bm_close, avg(open) AS bm_open FROM b GROUP BY date
@@ -36,10 +36,14 @@ SELECT date, code, open, high, low, close, volume, amount, vwap, cap, industry,
        padded / nullif(lag(padded) OVER (PARTITION BY code ORDER BY date), CAST(0 AS DOUBLE)) - 1 AS ret
 FROM p
 """
-DUCK_BARS = _BARS.format(lineitem="lineitem", supplier="supplier", explode="unnest((SELECT list(DISTINCT date) FROM b))", ffill="last_value(close IGNORE NULLS) OVER (PARTITION BY d.code ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+DUCK_BARS = _BARS.format(hint="", lineitem="lineitem", supplier="supplier", explode="unnest((SELECT list(DISTINCT date) FROM b))", ffill="last_value(close IGNORE NULLS) OVER (PARTITION BY d.code ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense panel. The grid explodes one array of weeks for each code; weeks are as many as the calendar has."""
-    sql = _BARS.format(lineitem="{lineitem}", supplier="{supplier}", explode="explode((SELECT collect_set(date) FROM b))", ffill="last(close, true) OVER (PARTITION BY d.code ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    """The dense panel. The grid explodes one array of weeks for each code; weeks are as many as the calendar has.
+
+    Spark takes the grid to be as small as its codes and would broadcast it where a filter makes
+    the join an inner one, so the join is told to sort and merge.
+    """
+    sql = _BARS.format(hint="/*+ MERGE(b) */ ", lineitem="{lineitem}", supplier="{supplier}", explode="explode((SELECT collect_set(date) FROM b))", ffill="last(close, true) OVER (PARTITION BY d.code ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     return spark.sql(sql, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
