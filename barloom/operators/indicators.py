@@ -26,9 +26,14 @@ def one(name: str, bars: DataFrame) -> DataFrame:
     return smoothed.apply(bars, name) if name in smoothed.INDICATORS else panel.run(name, bars=bars)
 
 
+def _with(df: DataFrame, found: DataFrame) -> DataFrame:
+    """df with the columns of an indicator, which replace columns of the same names."""
+    return df.drop(*set(found.columns).difference(KEYS)).join(found, KEYS, "left")
+
+
 def family(name: str, bars: DataFrame) -> DataFrame:
-    """bars with the columns of every indicator of a family."""
-    return reduce(lambda df, k: df.join(one(k, bars), KEYS, "left"), FAMILIES[name], bars)
+    """bars with the columns of every indicator of a family; one named like a column of bars (vwap) replaces it."""
+    return reduce(_with, [one(k, bars) for k in FAMILIES[name]], bars)
 
 
 def register(name: str, indicator: Indicator) -> None:
