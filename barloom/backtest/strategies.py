@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from itertools import compress
 
 import numpy as np
 
@@ -23,6 +23,10 @@ class Strategy:
     def get_param(self, key: str, default=None):
         return self.params.get(key, default)
 
+    def rows(self) -> int | None:
+        """Rows of the past that the strategy asks for, today's included; None: all."""
+        return None
+
     def initialize(self) -> None: ...
 
     def before_trading(self) -> None: ...
@@ -67,14 +71,27 @@ class Strategy:
 class Bar:
     """One date: closes of the codes that trade, and for each column a (dates, codes) history up to it."""
 
-    def __init__(self, date, codes: list[str], panels: dict[str, np.ndarray], row: int):
-        self.date, self.codes, self._panels, self._row = date, codes, panels, row
+    def __init__(self, date, codes: list[str], panels: dict[str, np.ndarray], row: int, known: dict[str, np.ndarray] | None = None, whole: bool = True):
+        self.date, self.codes, self._panels, self._row, self._known, self._whole = date, codes, panels, row, known, whole
         today = panels["close"][row]
-        self.closes = {c: float(x) for c, x in zip(codes, today) if not math.isnan(x)}
+        trades = ~np.isnan(today)
+        self.closes = dict(zip(compress(codes, trades), today[trades].tolist()))
 
     def history(self, column: str, n: int | None = None) -> np.ndarray:
+        if not self._whole and (n is None or n > self._row + 1):
+            raise ValueError("these rows of the past are not kept; the strategy's rows() has to ask for them")
         return self._panels[column][max(0, self._row + 1 - n) if n else 0 : self._row + 1]
 
+    def latest(self, column: str) -> np.ndarray | None:
+        """The last row of a column that has a value, today's included."""
+        if self._known is not None:
+            return self._known.get(column)
+        return latest_of(self._panels[column][: self._row + 1])
+
+
+def latest_of(rows: np.ndarray) -> np.ndarray | None:
+    return next((row for row in rows[::-1] if not np.isnan(row).all()), None)
+
 
 class DualAverage(Strategy):
     """Buys where the short mean of closes crosses above the long one, sells where it crosses below or a stop holds.
@@ -82,6 +99,9 @@ class DualAverage(Strategy):
     With `literal` the run halts on any alert level, green included, and so never trades.
     """
 
+    def rows(self) -> int:
+        return self.get_param("long", 20) + 1
+
     def initialize(self) -> None:
         self.risk, self.stops = RiskMonitor(), StopLoss(stop=self.get_param("stop", 0.08), take=self.get_param("take", 0.20))
 
@@ -99,7 +119,8 @@ class DualAverage(Strategy):
         if len(closes) < long + 1:
             return
         now, before = closes[-short:].mean(axis=0) - closes[-long:].mean(axis=0), closes[-short - 1 : -1].mean(axis=0) - closes[-long - 1 : -1].mean(axis=0)
-        for k, code in enumerate(bar.codes):
+        for k in np.flatnonzero(((now > 0) & (before <= 0)) | ((now < 0) & (before >= 0))):
+            code = bar.codes[k]
             held = self.account.position(code).quantity
             if now[k] > 0 >= before[k] and not held:
                 self.buy(code, int(buy_amount(self.account, code, self.get_param("share", 0.1) * self.account.value) // bar.closes[code] // LOT * LOT) if code in bar.closes else 0, reason="cross_up")
@@ -110,12 +131,16 @@ class DualAverage(Strategy):
 class TopFactor(Strategy):
     """Every `every` dates holds the `top` codes of the column `factor` in equal parts; others go, heavy ones (over 1.1 times) too."""
 
+    def rows(self) -> int:
+        return 1
+
     def initialize(self) -> None:
         self.risk, self.stops, self.day = RiskMonitor(), StopLoss(stop=self.get_param("stop", 0.08), take=self.get_param("take", 0.20)), 0
 
     def portfolio(self, factor: np.ndarray, codes: list[str]) -> dict[str, float]:
-        order = sorted((-x if self.get_param("largest", True) else x, c) for x, c in zip(factor, codes) if not math.isnan(x))[: self.get_param("top", 10)]
-        return {c: 1 / len(order) for _, c in order}
+        known = np.flatnonzero(~np.isnan(factor))  # codes are sorted, so ties go by code
+        order = known[np.argsort(-factor[known] if self.get_param("largest", True) else factor[known], kind="stable")][: self.get_param("top", 10)]
+        return {codes[k]: 1 / len(order) for k in order}
 
     def handle_bar(self, bar: Bar) -> None:
         self.risk.update(self.account.value)
@@ -129,10 +154,10 @@ class TopFactor(Strategy):
         self.day += 1
         if (self.day - 1) % self.get_param("every", 5) or self.risk.frozen:
             return
-        known = [row for row in bar.history("factor") if not np.isnan(row).all()]
-        if not known:
+        factor = bar.latest("factor")
+        if factor is None:
             return
-        wanted = {c: w for c, w in self.portfolio(known[-1], bar.codes).items() if c not in sold}
+        wanted = {c: w for c, w in self.portfolio(factor, bar.codes).items() if c not in sold}
         for code in list(self.account.positions):
             p = self.account.position(code)
             if code not in sold and (code not in wanted or p.value > 1.1 * wanted[code] * self.risk.scale * self.account.value):
