@@ -6,6 +6,9 @@ cross-sections one by date. Recursive means run per code as a grouped map.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,17 @@ def _ema(df: DataFrame, nodes: list[Node], names: dict[Node, str]) -> DataFrame:
     return inputs.groupBy("code").applyInPandas(fold, schema.replace(":", " "))
 
 
+def c_power(x: pd.Series, y: pd.Series) -> pd.Series:
+    """The C library's power, as DuckDB has it: the JVM's differs in the last bit. Rows without x give null."""
+    out = np.full(len(x), np.nan)
+    for k in np.flatnonzero(x.notna() & y.notna()):
+        try:
+            out[k] = math.pow(x.iat[k], y.iat[k])
+        except (OverflowError, ValueError):  # beyond all doubles, or zero to a negative power
+            out[k] = math.inf
+    return pd.Series(out)
+
+
 def cleaned(expression: str, dialect: str) -> str:
     """No infinities and NaNs in results."""
     return f"CASE WHEN abs({expression}) < CAST('Infinity' AS DOUBLE) THEN {expression} END"
@@ -70,7 +84,10 @@ def compute(bars: DataFrame, formulas: dict[str, str]) -> DataFrame:
                 df = df.selectExpr("*", *[f"{Renderer(SPARK, names).window(n)} AS {names[n]}" for n in nodes])
         if recursive:
             df = _ema(df, recursive, names)
-    out = df.selectExpr(*KEYS, *[f"CAST({Renderer(SPARK, names).value(t)} AS DOUBLE) AS {k}" for k, t in trees.items()])
+    last = {k: f"CAST({Renderer(SPARK, names, 'barloom_c_power').value(t)} AS DOUBLE) AS {k}" for k, t in trees.items()}
+    if any("barloom_c_power" in x for x in last.values()):
+        df.sparkSession.udf.register("barloom_c_power", F.pandas_udf(c_power, "double"))
+    out = df.selectExpr(*KEYS, *last.values())
     return out.selectExpr(*KEYS, *[f"{cleaned(k, SPARK)} AS {k}" for k in formulas])
 
 
