@@ -117,11 +117,14 @@ class Past:
 
 
 def packed(bars: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a date: codes in order, and an array of each column (v0, v1, ...). Rows without a date or a code belong to no bar."""
+    """One row a date: codes in order, as JSON, and an array of each column (v0, v1, ...). Rows without a date or a code belong to no bar.
+
+    The codes are as a rule those of the date before; as one text they are a third of the size and are read only when they change.
+    """
     values = [f"v{k}" for k in range(len(columns))]
     cell = F.struct(F.col("code").cast("string").alias("code"), *[F.col(c).cast("double").alias(v) for c, v in zip(columns, values)])
     days = bars.where("date IS NOT NULL AND code IS NOT NULL").groupBy(F.col("date").cast("date").alias("date")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-    return days.select("date", *[F.col(f"cells.{x}").alias(x) for x in ("code", *values)])
+    return days.select("date", F.to_json("cells.code").alias("code"), *[F.col(f"cells.{v}").alias(v) for v in values])
 
 
 def _frame(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -138,10 +141,13 @@ def run_all(bars: DataFrame, runs: DataFrame, columns: list[str] | None = None,
     dealt = runs.select(place.cast("int").alias("task"), F.struct("run", "strategy", "params").alias("run")).groupBy("task").agg(F.sort_array(F.collect_list("run")).alias("runs"))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        text, names = None, pa.array([], pa.string())
         for batch in batches:
             for k in range(batch.num_rows):
                 day = [batch.column(j)[k] for j in range(1, batch.num_columns)]
-                yield day[0], day[1].as_py(), day[2].values, {c: v.values.to_numpy(zero_copy_only=False).astype(float) for c, v in zip(columns, day[3:])}
+                if (given := day[2].as_py()) != text:
+                    text, names = given, pa.array(json.loads(given), pa.string())
+                yield day[0], day[1].as_py(), names, {c: v.values.to_numpy(zero_copy_only=False).astype(float) for c, v in zip(columns, day[3:])}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folds, past = None, None

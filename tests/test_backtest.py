@@ -41,6 +41,28 @@ def test_orders_shrink_to_cash_and_odd_lots_stay():
     assert Broker(account, Costs(slippage=0)).fill_price(Order("a", True, 100, limit=9.0)) == 9.0
 
 
+@pytest.mark.parametrize("cash", [3.3e5, 3.3e17, 3.3e24, 3.3e40])
+def test_lots_that_a_large_cash_pays_for(cash):
+    """Counting down by lots would not end where a lot less costs the same."""
+    account = Account(cash)
+    broker = Broker(account, Costs(commission=1e-9, slippage=0.0))
+    account.mark({"a": 1234.5})
+    most = int(cash / (1234.5 * (1 + 1e-9))) // 100
+    order = Order("a", True, 10**60)
+
+    class Counted(float):
+        n = 0
+
+        def __mul__(self, other):
+            Counted.n += 1
+            assert Counted.n < 10_000, "counts down"
+            return float(self) * other
+
+    broker.fill_price = lambda o: Counted(1234.5)
+    assert broker.process(order) and account.cash >= 0
+    assert order.quantity % 100 == 0 and 0 <= most - order.quantity // 100 <= 1 + most * 1e-15
+
+
 def test_stops_and_levels():
     account, b = broker()
     b.process(Order("a", True, 1000))

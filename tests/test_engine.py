@@ -64,3 +64,14 @@ def test_past_keeps_what_is_asked_for():
         bar.history("close")
     with pytest.raises(ValueError):
         past.push(day(100), pa.array(["a", "a"]), {"close": np.array([1.0, 2.0])})
+
+
+def test_any_text_is_a_code(spark):
+    codes = sorted(["", '"', "\\", "\n", "\0", "a,b", "\u00e9", "\U0001f600"])
+    bars = spark.createDataFrame([(day(k), c, 10.0, 1.0) for k in range(2) for c in codes], "date date, code string, close double, factor double")
+    log = engine.run_all(bars, engine.grid(spark, "top_factor", top=[len(codes)], every=[1]), ["close", "factor"], trades=True)
+    assert sorted({r.code for r in log.collect()}) == codes
+
+
+def test_codes_are_one_text_a_date(spark, bars):
+    assert dict(engine.packed(bars, ["close"]).dtypes)["code"] == "string"
