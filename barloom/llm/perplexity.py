@@ -68,19 +68,49 @@ def _shards(grams: np.ndarray, shards: int) -> np.ndarray:
     return (((grams >> (BITS * 2)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
 
 
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams in order, and how often each is there. Values alone sort much faster than their places."""
+    ordered = np.sort(grams)
+    starts = np.flatnonzero(np.diff(ordered, prepend=-1))  # n-grams are not negative
+    return ordered[starts], np.diff(starts, append=len(ordered))
+
+
+def _where(distinct: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The place of each n-gram in `distinct`: a table by hash, and a search for those whose slot another one took."""
+    bits = max(8, 3 + int(len(distinct)).bit_length())
+    slot = lambda g: ((g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+    table = np.zeros(1 << bits, np.int64)
+    table[slot(distinct)] = np.arange(len(distinct))
+    at = table[slot(grams)]
+    other = np.flatnonzero(distinct[at] != grams) if len(grams) else []
+    at[other] = np.searchsorted(distinct, grams[other])
+    return at
+
+
 class _Grams:
     """Distinct n-grams of a block, in the order of (shard, n-gram)."""
 
     def __init__(self, texts: list[str], shards: int):
-        grams, self.sizes = codes(texts)
-        distinct, back = np.unique(grams, return_inverse=True)
-        home = _shards(distinct, shards)
+        self.all, self.sizes = codes(texts)
+        self._sorted, _ = _distinct(self.all)
+        home = _shards(self._sorted, shards)
         order = np.argsort(home, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.grams, self.at = distinct[order], place[back]
+        self._place = np.empty(len(order), np.int64)
+        self._place[order] = np.arange(len(order))
+        self.grams = self._sorted[order]
         self.edges = np.searchsorted(home[order], np.arange(shards + 1))
 
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each distinct n-gram is among the chosen ones."""
+        some, n = _distinct(self.all[chosen])
+        out = np.zeros(len(self.grams), np.uint32)
+        out[self._place[np.searchsorted(self._sorted, some)]] = n
+        return out
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """A value of each distinct n-gram, for every n-gram of the block."""
+        return values[self._place][_where(self._sorted, self.all)]
+
 
 def _texts(payload: bytes) -> list[str]:
     data, sizes = _expand(payload)
@@ -158,7 +188,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
             for k in range(batch.num_rows):
                 grams = _Grams(_texts(batch.column("payload")[k].as_py()), shards)
                 good = np.repeat(np.array(batch.column("goods")[k].as_py(), bool), grams.sizes)
-                counts = np.bincount(grams.at[good], minlength=len(grams.grams)).astype(np.uint32)
+                counts = grams.counts(good)
                 e = grams.edges
                 out = [(s, _squeeze(np.diff(grams.grams[e[s] : e[s + 1]], prepend=0), counts[e[s] : e[s + 1]])) for s in range(shards) if e[s] < e[s + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[k].as_py()] * len(out), pa.int64()), pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "shard", "payload"])
@@ -191,7 +221,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
             p = np.zeros(len(grams.grams), np.float64)
             for s, x in zip(logs.column("shard").to_pylist(), logs.column("logs").to_pylist()):
                 p[grams.edges[s] : grams.edges[s + 1]] = _expand(x)[0].view(np.float32)
-            sums = np.bincount(np.repeat(np.arange(len(grams.sizes)), grams.sizes), p[grams.at], minlength=len(grams.sizes))
+            sums = np.bincount(np.repeat(np.arange(len(grams.sizes)), grams.sizes), grams.spread(p), minlength=len(grams.sizes))
             ids_, langs, sizes = own.column("ids")[0].as_py(), own.column("langs")[0].as_py(), [len(t) for t in texts]
             out = [round(math.exp(min(700.0, -s / n)), 6) if n else None for s, n in zip(sums.tolist(), sizes)]
         return pa.table([pa.array(ids_, own.schema.field("ids").type.value_type), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "lang", "n_chars", "perplexity"])
