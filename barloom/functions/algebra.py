@@ -143,3 +143,9 @@ def windows(node: Node, found: dict[Node, int] | None = None) -> dict[Node, int]
         if node[0] in WINDOWED:
             found[node] = depth(node)
     return found
+
+
+def exponents(node: Node) -> frozenset[Node]:
+    """The correlations that are exponents of signed powers. With gaps in one series they are not between -1 and 1, so such a power may have any size."""
+    below = frozenset().union(*[exponents(x) for x in node[1:] if isinstance(x, tuple)])
+    return below | {node[2]} if node[0] == "SPOW" and node[2][0] == "CORR" else below

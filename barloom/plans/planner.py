@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.algebra import CROSS, RECURSIVE, Node, parse, windows
+from barloom.functions.algebra import CROSS, RECURSIVE, Node, exponents, parse, windows
 from barloom.operators.render import DUCK, SPARK, Renderer
 
 KEYS = ["date", "code"]
@@ -76,12 +76,13 @@ def compute(bars: DataFrame, formulas: dict[str, str]) -> DataFrame:
     """date, code and one column for each formula."""
     trees = {k: parse(f) for k, f in formulas.items()}
     names, by = _layers(list(trees.values()))
+    raised = frozenset().union(*map(exponents, trees.values()))
     df = bars
     for layer in sorted(by):
         rows, cross, recursive = _parted(by[layer])
         for nodes in (rows, cross):
             if nodes:
-                df = df.selectExpr("*", *[f"{Renderer(SPARK, names).window(n)} AS {names[n]}" for n in nodes])
+                df = df.selectExpr("*", *[f"{Renderer(SPARK, names, exponents=raised).window(n)} AS {names[n]}" for n in nodes])
         if recursive:
             df = _ema(df, recursive, names)
     last = {k: f"CAST({Renderer(SPARK, names, 'barloom_c_power').value(t)} AS DOUBLE) AS {k}" for k, t in trees.items()}
