@@ -2,7 +2,7 @@
 
 The text is cut at spaces into words; words of equal length (long ones filled up to a common
 width) advance together as the rows of one matrix. For every substring length a rolling hash of all positions
-probes the sorted keys of the pieces, and for each end position a vectorised
+probes a table of the pieces, and for each end position a vectorised
 maximum over the candidate pieces stores the backpointer.
 
 The public model is a byte-pair model, whose right result is that of its merges,
@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from barloom.llm.common import text_of
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MOST_WORDS = 250_000
+MOST_WORDS = 400_000
 #: Pairs of pieces whose standing together is kept, and the width above which a word is encoded by itself.
 MOST_PAIRS = 1_000_000
 LONG_WORD = 256
@@ -62,15 +62,19 @@ class Viterbi:
         self.keys, self.key_ids = hashes[order], np.array(usable, np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one key")
-        self.seen = np.zeros(1 << 20, bool)
+        self.seen, self.places = np.zeros(1 << 20, bool), np.zeros(1 << 20, np.int32)
         self.seen[self._slot(self.keys)] = True
+        self.places[self._slot(self.keys)] = np.arange(len(self.keys))
         self.bytes = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.byte_ids = {int(p[1:-1], 16): i for i, p in enumerate(pieces) if sp.is_byte(i)}
         alone = "".join(chr(c) for c in range(128) if not any(chr(c) in p for p in self.ids if len(p) > 1))
         alone = re.escape(alone)
-        self.split = re.compile(f"{SPACE}+(?={SPACE}|$)|{SPACE}?[^{SPACE}{alone}]+|{SPACE}?[{alone}]" if alone else f"{SPACE}+(?={SPACE}|$)|{SPACE}?[^{SPACE}]+").findall
+        # no two of the three match at one place; the most frequent is tried first
+        self.split = re.compile(f"{SPACE}?[^{SPACE}{alone}]+|{SPACE}?[{alone}]|{SPACE}+(?={SPACE}|$)" if alone else f"{SPACE}?[^{SPACE}]+|{SPACE}+(?={SPACE}|$)").findall
         self.pairs: dict[int, bool] = {}
-        self.pair_keys, self.pair_good = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
+        self.known_pairs = np.full(1 << 21, -1, np.int64)  # twice the code of a pair, and one if it is good
+        self.head, self.feed = sp.encode("\n"), sp.encode("\n\n")[-1:]
+        self.feeds_part = sp.encode("\na\na") == [*self.head, *sp.encode("\na")[len(self.head) :], *self.feed, *sp.encode("\na")[len(self.head) :]]
         prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.alive = np.zeros(1 << 20, bool)
         self.alive[self._slot(np.array([self._hash(p) for p in prefixes], np.uint64))] = True
@@ -92,8 +96,8 @@ class Viterbi:
 
     def _alone(self, texts: list[str]) -> list[list[int]]:
         """The library's ids of strings as they are, without its space before: a line feed joins with nothing, so one call holds many."""
-        head, feed = self.library.encode("\n"), self.library.encode("\n\n")[-1:]
-        if self.library.encode("\na\na") != [*head, *self.library.encode("\na")[len(head) :], *feed, *self.library.encode("\na")[len(head) :]] or "\n" in "".join(texts):
+        head, feed = self.head, self.feed
+        if not self.feeds_part or "\n" in "".join(texts):
             return [x[len(head) :] for x in self.library.encode(["\n" + t.replace(SPACE, " ") for t in texts], num_threads=1)]
         out: list[list[int]] = []
         for k in range(0, len(texts), 1000):
@@ -105,9 +109,11 @@ class Viterbi:
     def _may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece b may stand after piece a; a may be the start of a word. Known pairs are read from a direct-mapped table."""
         codes = a * np.int64(self.start + 1) + b
-        slots = ((codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(43)).astype(np.int64)
-        missed = np.unique(codes[self.pair_keys[slots] != codes])
-        if len(missed):
+        slots = self._pair_slot(codes)
+        known = self.known_pairs[slots]
+        lost = known >> 1 != codes
+        if lost.any():
+            missed = np.unique(codes[lost])
             if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
             new = [c for c in missed.tolist() if c not in self.pairs]
@@ -115,71 +121,84 @@ class Viterbi:
                 split = [divmod(c, self.start + 1) for c in new]
                 got = self._alone([("" if x == self.start else self.pieces[x]) + self.pieces[y] for x, y in split])
                 self.pairs.update((c, g == ([y] if x == self.start else [x, y])) for c, g, (x, y) in zip(new, got, split))
-            at = ((missed.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(43)).astype(np.int64)
-            self.pair_keys[at], self.pair_good[at] = missed, [self.pairs[c] for c in missed.tolist()]
-            lost = self.pair_keys[slots] != codes  # two new pairs of one slot
-            if lost.any():
-                good = self.pair_good[slots]
-                good[lost] = [self.pairs[c] for c in codes[lost].tolist()]
-                return good
-        return self.pair_good[slots]
-
-    def _equal_width(self, words: list[str], width: int) -> list[tuple[int, ...]]:
-        """Words of one width; shorter ones are filled up with a character of no piece."""
+            good = np.array([self.pairs[c] for c in missed.tolist()])
+            self.known_pairs[self._pair_slot(missed)] = missed << 1 | good
+            out = known & 1 != 0
+            out[lost] = good[np.searchsorted(missed, codes[lost])]
+            return out
+        return known & 1 != 0
+
+    @staticmethod
+    def _pair_slot(codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(43)).astype(np.int64)
+
+    def _piece_places(self, probe: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are those of pieces, and the places of these in the sorted keys."""
+        place = self.places[slot]
+        hit = self.keys[place] == probe
+        rest = np.flatnonzero(~hit)  # a slot of two pieces shows one of them
+        place[rest] = np.minimum(np.searchsorted(self.keys, probe[rest]), len(self.keys) - 1)
+        hit[rest] = self.keys[place[rest]] == probe[rest]
+        return np.flatnonzero(hit), place[hit]
+
+    def _equal_width(self, words: list[str], sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of one width in a row, and how many each has; shorter words are filled up with a character of no piece."""
         n = len(words)
-        chars = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width).astype(np.uint64)
-        chars[np.arange(width) >= np.array([len(w) for w in words])[:, None]] = 1 << 40
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.full((width, n), 1 << 40, np.uint64)  # position by position, so that what is found is in the order of its begin
+        chars.T[np.arange(width) < sizes[:, None]] = text
         # substrings that begin as no piece does are not made longer
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         flat, at = chars.ravel(), np.arange(n * width)
         h = np.zeros(n * width, np.uint64)
         for size in range(1, min(self.longest, width) + 1):
-            h = h * BASE + flat[at + size - 1]
-            slot = self._slot(h)
-            whole = np.nonzero(self.seen[slot])[0]
-            probe = h[whole]
-            place = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-            hit = self.keys[place] == probe
-            where, begin = np.divmod(at[whole[hit]], width)
-            order = np.argsort(begin, kind="stable")
-            found.append((where[order], self.key_ids[place[hit]][order], np.searchsorted(begin[order], np.arange(width + 1))))
-            more = np.nonzero(self.alive[slot] & (at % width + size < width))[0]
+            h = h * BASE + flat[at + (size - 1) * n]
+            slot = self._slot(h).astype(np.int64)
+            whole = np.flatnonzero(self.seen[slot])
+            hit, place = self._piece_places(h[whole], slot[whole])
+            where = at[whole[hit]]
+            found.append((where, self.key_ids[place], np.searchsorted(where, np.arange(width + 1) * n)))
+            more = np.flatnonzero(self.alive[slot[: np.searchsorted(at, (width - size) * n)]])
             h, at = h[more], at[more]
             if not len(at):
                 break
         last = np.full((width + 1, n), self.start, np.int64)
+        # after a character of no piece, a piece stands as at the start of a word
+        ahead = np.full((width + 1, n), self.start, np.int64)
         back = np.ones((width + 1, n), np.int64)
         for end in range(1, width + 1):
             best, piece = np.zeros(n, np.int64), np.full(n, self.unknown, np.int64)
             for size in range(min(len(found), end), 0, -1):
-                rows, ids, edges = found[size - 1]
+                where, ids, edges = found[size - 1]
                 lo, hi = edges[end - size], edges[end - size + 1]
                 if lo == hi:
                     continue
-                rows, ids = rows[lo:hi], ids[lo:hi]
+                rows, ids = where[lo:hi] - (end - size) * n, ids[lo:hi]
                 free = best[rows] == 0
                 rows, ids = rows[free], ids[free]
                 if len(rows):
-                    before = last[end - size][rows]
-                    # after a character of no piece, a piece stands as at the start of a word
-                    ok = self._may_follow(np.where(before == self.unknown, self.start, before), ids)
+                    ok = self._may_follow(ahead[end - size][rows], ids)
                     best[rows[ok]], piece[rows[ok]] = size, ids[ok]
             last[end], back[end] = piece, np.maximum(best, 1)
+            ahead[end] = np.where(piece == self.unknown, self.start, piece)
         # all words walk back together; a walk ends at position 0
-        at, all_rows = np.array([len(w) for w in words]), np.arange(n)
+        at, all_rows = sizes.copy(), np.arange(n)
         steps = []
         while at.any():
             steps.append(np.where(at > 0, last[at, all_rows], -1))
             at = np.where(at > 0, at - back[at, all_rows], 0)
         walked = np.stack(steps[::-1], axis=1) if steps else np.zeros((n, 0), np.int64)
         kept = walked >= 0
-        flat, ends = walked[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
-        out, begin = [], 0
-        odd = set(np.nonzero((walked == self.unknown).any(axis=1))[0].tolist())
-        for k, end in enumerate(ends):
-            out.append(self._bytes_for(words[k], flat[begin:end]) if k in odd else tuple(flat[begin:end]))
-            begin = end
-        return out
+        flat, counts = walked[kept], kept.sum(axis=1)
+        odd = np.flatnonzero((walked == self.unknown).any(axis=1)).tolist()
+        if odd:
+            ends, parts, begin = np.cumsum(counts), [], 0
+            for k in odd:
+                own = self._bytes_for(words[k], flat[ends[k] - counts[k] : ends[k]].tolist())
+                parts += [flat[begin : ends[k] - counts[k]], np.array(own, np.int64)]
+                begin, counts[k] = ends[k], len(own)
+            flat = np.concatenate([*parts, flat[begin:]])
+        return flat, counts
 
     def _bytes_for(self, word: str, ids: list[int]) -> tuple[int, ...]:
         """The ids with those of the UTF-8 bytes in place of each character of no piece."""
@@ -216,31 +235,39 @@ class Viterbi:
         return self._bytes_for(word, got[::-1])
 
     def _learn(self, words: set[str]) -> None:
-        by: dict[int, list[str]] = {}
-        for w in words:
-            n = len(w)
-            by.setdefault(n if n <= 8 else -(-n // 4) * 4 if n <= 32 else -(-n // 32) * 32, []).append(w)
-        for width, same in by.items():
+        words = sorted(words, key=len)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        widths = np.where(sizes <= 8, sizes, np.where(sizes <= 32, -(-sizes // 4) * 4, -(-sizes // 32) * 32))
+        begin = 0
+        while begin < len(words):
+            width = int(widths[begin])
             if width > LONG_WORD:
-                self.words.add(same, [self._long(w) for w in same])
-                continue
-            step = max(1, MOST_CELLS // width)
-            for k in range(0, len(same), step):
-                part = same[k : k + step]
-                self.words.add(part, self._equal_width(part, width))
-
-    def _know(self, words: list[str]) -> None:
-        """Every word is in the current table; words in use move on to a new one when it is full, the others go with the old one."""
-        distinct = set(words)
-        if len(self.words.index) + len(distinct) > MOST_WORDS:
+                self.words.add_lists(words[begin:], [self._long(w) for w in words[begin:]])
+                break
+            end = min(begin + max(1, MOST_CELLS // width), int(np.searchsorted(widths, width, "right")))
+            part = words[begin:end]
+            self.words.add(part, *self._equal_width(part, sizes[begin:end], width))
+            begin = end
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """The place of every word in the current table, which gets those it lacks; when it is full, words in use move on to a new one, the others go with the old one."""
+        rows = np.fromiter(map(self.words.index.get, words, repeat(-1)), np.int64, len(words))
+        lost = np.flatnonzero(rows < 0)
+        if not len(lost):
+            return rows
+        lacking = [words[k] for k in lost.tolist()]
+        new = set(lacking)
+        if len(self.words.index) + len(new) > MOST_WORDS:
             self.old, self.words = self.words, _Words()
-        new = distinct.difference(self.words.index)
+            lost, lacking, new = np.arange(len(words)), words, set(words)
         again = [w for w in new if w in self.old.index]
-        self.words.add(again, [self.old.ids(w) for w in again])
+        self.words.add(again, *self.old.ids(again))
         new.difference_update(again)
-        runs = [w for w in new if not w.strip(SPACE)]
-        self.words.add(runs, [tuple(x) for x in self._alone(runs)])
+        runs = [w for w in new if w[-1] == SPACE]  # a word ends in its space only if it is a run of them
+        self.words.add_lists(runs, self._alone(runs))
         self._learn(new.difference(runs))
+        rows[lost] = np.fromiter(map(self.words.index.__getitem__, lacking), np.int64, len(lacking))
+        return rows
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where those of each end."""
@@ -248,8 +275,7 @@ class Viterbi:
         words = list(chain.from_iterable(cut))
         ends = np.cumsum(np.array([len(x) for x in cut], np.int64))
         del cut
-        self._know(words)
-        rows = np.fromiter(map(self.words.index.__getitem__, words), np.int64, len(words))
+        rows = self._rows(words)
         starts, sizes, flat = self.words.spans()
         begin, size = starts[rows], sizes[rows]
         lone = self.ids.get(SPACE)
@@ -260,12 +286,11 @@ class Viterbi:
             joined = [j for j in joins.tolist() if not words[j - 1].strip(SPACE) and words[j].strip(SPACE)]
             if joined:
                 longer = [words[j - 1] + SPACE for j in joined]
-                kept = self.words
-                self._know([*longer, *words])
+                kept, at = self.words, np.array(joined)
+                places = self._rows(longer)
                 if self.words is not kept:  # the tables turned: read all rows again
-                    rows = np.fromiter(map(self.words.index.__getitem__, words), np.int64, len(words))
-                at = np.array(joined)
-                rows[at - 1] = [self.words.index[w] for w in longer]
+                    places, rows = np.split(self._rows([*longer, *words]), [len(longer)])
+                rows[at - 1] = places
                 starts, sizes, flat = self.words.spans()
                 begin, size = starts[rows], sizes[rows]
                 begin[at] += 1
@@ -297,22 +322,27 @@ class _Words:
         self.index: dict[str, int] = {}
         self.starts, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
-    def add(self, words: list[str], ids: list) -> None:
-        n = len(self.index)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        total = int(sizes.sum())
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """ids: of all the words in a row."""
+        n, total = len(self.index), len(ids)
         while n + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.flat[self.used : self.used + total] = ids
         self.starts[n + 1 : n + len(words) + 1] = self.used + np.cumsum(sizes)
         self.used += total
         self.index.update(zip(words, range(n, n + len(words))))
 
-    def ids(self, word: str) -> list[int]:
-        k = self.index[word]
-        return self.flat[self.starts[k] : self.starts[k + 1]].tolist()
+    def add_lists(self, words: list[str], ids: list) -> None:
+        sizes = np.array([len(x) for x in ids], np.int64)
+        self.add(words, np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes)
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all the words in a row, and how many each has."""
+        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        return _gathered(self.flat, self.starts[rows], sizes), sizes
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(self.index)

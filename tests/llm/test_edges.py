@@ -66,6 +66,19 @@ def test_pieces_of_the_space_sign_and_of_long_words():
     assert coder.encode(texts) == [library.encode(t) for t in texts]
 
 
+def test_words_in_hand_leave_the_tables_as_they_are(monkeypatch):
+    with open(vocabulary(PIECE_MODEL), "rb") as f:
+        coder = pieces.Viterbi(f.read())
+    monkeypatch.setattr(pieces, "MOST_WORDS", 4)
+    texts = ["one two 中\ue000three", "two one   9"]
+    for _ in range(3):  # each text alone fits, both together do not
+        assert coder.encode(texts[:1]) == [coder.library.encode(texts[0])]
+        held = coder.words
+        assert coder.encode(texts[:1]) == [coder.library.encode(texts[0])] and coder.words is held
+        assert coder.encode(texts[1:]) == [coder.library.encode(texts[1])]
+    assert coder.encode(texts) == [coder.library.encode(t) for t in texts]
+
+
 def test_characters_keep_their_identity():
     texts = ["", "中", "a文\U0010ffff໯໰", "abc"]
     grams, sizes = perplexity.codes(texts)
