@@ -11,14 +11,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Both engines read this text; {hint} is empty for DuckDB.
-_BARS = """
+_LINES = """
 WITH l AS (
   SELECT l_suppkey AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice / l_quantity AS price, l_quantity AS quantity, l_extendedprice AS extended,
          row_number() OVER (PARTITION BY l_suppkey, date_trunc('week', l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS first_place,
          row_number() OVER (PARTITION BY l_suppkey, date_trunc('week', l_shipdate) ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, l_quantity DESC) AS last_place
   FROM {lineitem}
-), b AS (
+"""
+#: The same for Spark: weeks are the key of the windows as of the aggregation after them, so lines are dealt once, and prices are not dealt with them.
+_SPARK_LINES = """
+WITH s AS (
+  SELECT l_suppkey AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity FROM {lineitem}
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY code, date ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS first_place,
+         row_number() OVER (PARTITION BY code, date ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, l_quantity DESC) AS last_place
+  FROM s
+), l AS (
+  SELECT code, date, l_extendedprice / l_quantity AS price, l_quantity AS quantity, l_extendedprice AS extended, first_place, last_place FROM o
+"""
+#: Both engines read this text after their lines; {hint} is empty for DuckDB.
+_BARS = """), b AS (
   SELECT code, date, max(CASE WHEN first_place = 1 THEN price END) AS open, max(price) AS high, min(price) AS low, max(CASE WHEN last_place = 1 THEN price END) AS close,
          CAST(sum(CAST(quantity AS DECIMAL(18, 2))) AS DOUBLE) AS volume, CAST(sum(CAST(extended AS DECIMAL(18, 2))) AS DOUBLE) AS amount
   FROM l GROUP BY code, date
@@ -36,7 +48,7 @@ SELECT date, code, open, high, low, close, volume, amount, vwap, cap, industry,
        padded / nullif(lag(padded) OVER (PARTITION BY code ORDER BY date), CAST(0 AS DOUBLE)) - 1 AS ret
 FROM p
 """
-DUCK_BARS = _BARS.format(hint="", lineitem="lineitem", supplier="supplier", explode="unnest((SELECT list(DISTINCT date) FROM b))", ffill="last_value(close IGNORE NULLS) OVER (PARTITION BY d.code ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+DUCK_BARS = (_LINES + _BARS).format(hint="", lineitem="lineitem", supplier="supplier", explode="unnest((SELECT list(DISTINCT date) FROM b))", ffill="last_value(close IGNORE NULLS) OVER (PARTITION BY d.code ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,5 +57,5 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     Spark takes the grid to be as small as its codes and would broadcast it where a filter makes
     the join an inner one, so the join is told to sort and merge.
     """
-    sql = _BARS.format(hint="/*+ MERGE(b) */ ", lineitem="{lineitem}", supplier="{supplier}", explode="explode((SELECT collect_set(date) FROM b))", ffill="last(close, true) OVER (PARTITION BY d.code ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    sql = (_SPARK_LINES + _BARS).format(hint="/*+ MERGE(b) */ ", lineitem="{lineitem}", supplier="{supplier}", explode="explode((SELECT collect_set(date) FROM b))", ffill="last(close, true) OVER (PARTITION BY d.code ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     return spark.sql(sql, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
